@@ -9,15 +9,15 @@ exploded and ``text`` dropped.  ``text`` is never shuffled.
 from __future__ import annotations
 
 import json
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regex import found, group_layout, java_pattern
 from ..functions.spans import match_positions, merge_spans, snippet, window
-from ..functions.text import entropy, fold, let, not_blank, spaced, sql_text, sql_texts
-from ..rules.model import Rule, RuleSet, load_rules
+from ..functions.text import entropy, fold, is_ascii, let, not_blank, spaced, sql_text, sql_texts
+from ..rules.model import DIGIT_RUN, HEAD, TAIL, Rule, RuleSet, Suppressor, load_rules
 from ..rules.validators import VALIDATORS
 from ..schema import ref
 from .structure import signals
@@ -64,9 +64,9 @@ def _probe(rule_ix: int, rule: Rule) -> str:
     if rule.kinds:
         cheap.append(f"kind IN ({sql_texts(rule.kinds)})")
     if rule.digits:
-        cheap.append("has_digit")
-    if rule.needs or rule.words:
-        cheap.append(f"arrays_overlap(signs, array({sql_texts(rule.needs + rule.words)}))")
+        cheap.append("digit_run" if rule.digits >= DIGIT_RUN else "has_digit")
+    if _signs_of(rule):
+        cheap.append(f"arrays_overlap(signs, array({sql_texts(_signs_of(rule))}))")
     if rule.requires_context and all(t.isascii() for t in rule.requires_context):
         cheap.append(
             " OR ".join(f"contains(folded, {sql_text(t.lower())})" for t in rule.requires_context)
@@ -81,26 +81,56 @@ def _probe(rule_ix: int, rule: Rule) -> str:
     return out
 
 
+def _signs_of(rule: Rule) -> list[str]:
+    """The signs of which a match of *rule* has at least one."""
+    return [
+        *rule.needs, *(f"={w}" for w in rule.words), *(f"<{h}" for h in rule.heads),
+        *(f">{t}" for t in rule.tails),
+    ]
+
+
 def _with_signs(records: DataFrame, rules: list[Rule]) -> DataFrame:
     """Add what the cheap conditions look at, worked out once per record.
 
-    ``signs`` holds the needed literals and whole words that occur in the text.
+    ``signs`` lists the needed literals, words, beginnings and ends that occur.
+    One pass over the words replaces a search for each.
     """
-    literals = sorted({n for r in rules for n in r.needs})
-    words = sorted({w for r in rules for w in r.words})
-    some_literals = "array_compact(array(%s))" % ", ".join(
-        f"CASE WHEN contains(folded, {t}) THEN {t} END" for t in map(sql_text, literals)
-    )
-    tokens = (
-        "CASE WHEN octet_length(folded) = length(folded) THEN split(folded, '[^a-z0-9_]+', -1) "
-        "ELSE split(folded, '(?U)\\\\W+', -1) END"
+    def wanted(field: str) -> Column:
+        return F.array(*[F.lit(v) for v in sorted({v for r in rules for v in getattr(r, field)})])
+
+    folded, text = F.col("folded"), F.col("text")
+    tokens = F.array_distinct(
+        F.when(is_ascii(folded), F.split(folded, "[^a-z0-9_]+", -1)).otherwise(
+            F.split(folded, r"(?U)\W+", -1)
+        )
     )
-    some_words = f"array_intersect({tokens}, array({sql_texts(words)}))" if words else "array()"
-    return records.withColumn("folded", fold(F.col("text"))).select(
-        "*",
-        F.expr(f"concat(CAST({some_literals} AS array<string>), CAST({some_words} AS array<string>))")
-        .alias("signs"),
-        found(F.col("text"), r"\d").alias("has_digit"),
+
+    def marked(mark: str, found_texts: Column) -> Column:
+        return F.transform(found_texts, lambda t: F.concat(F.lit(mark), t))
+
+    parts = []
+    literals = sorted({n for r in rules for n in r.needs})
+    if literals:
+        parts.append(F.array_compact(F.array(*[
+            F.when(F.contains(folded, F.lit(n)), F.lit(n)) for n in literals
+        ])))
+    by_word = []
+    if any(r.words for r in rules):
+        by_word.append(lambda t: marked("=", F.array_intersect(t, wanted("words"))))
+    if any(r.heads for r in rules):
+        by_word.append(lambda t: marked("<", F.array_intersect(
+            F.transform(t, lambda x: F.substring(x, 1, HEAD)), wanted("heads"))))
+    if any(r.tails for r in rules):
+        by_word.append(lambda t: marked(">", F.array_intersect(
+            F.transform(t, lambda x: F.substring(x, -TAIL, TAIL)), wanted("tails"))))
+    if by_word:
+        parts.append(let(tokens, lambda t: F.concat(*[make(t) for make in by_word])))
+    signs = F.concat(*parts) if parts else F.array().cast("array<string>")
+    run = r"\d(?:[\s-]?\d){%d}" % (DIGIT_RUN - 1)
+    has_digit = found(text, r"\d")
+    return records.withColumn("folded", fold(text)).select(
+        "*", signs.alias("signs"), has_digit.alias("has_digit"),
+        F.when(has_digit, found(text, run)).otherwise(False).alias("digit_run"),
     )
 
 
@@ -317,18 +347,17 @@ def _rule_hits(ruleset: RuleSet, text: Column, gated: Column, constants: Column)
     return let(gated, split_up)
 
 
-def hits(records: DataFrame, ruleset: RuleSet | None = None, *, shapes: bool = True) -> DataFrame:
-    """Every hit in *records*, one row each; see :data:`HIT_COLUMNS`.
+@lru_cache(maxsize=64)
+def _found_hits(rules: tuple[Rule, ...], suppressors: tuple[Suppressor, ...], shapes: bool) -> Column:
+    """The array of everything found in one row, as one expression.
 
-    Rows with ``suppressed_by`` set are matches a suppressor or an ignore
-    pattern removed; they are kept so they can be counted.  ``value`` is raw.
+    It only names columns, so one expression serves every table.
     """
-    ruleset = ruleset or load_rules()
+    ruleset = RuleSet(list(rules), list(suppressors))
     text, kind = F.col("text"), F.col("kind")
-
     constants = _constants(ruleset.rules)
     probes = F.expr(
-        "array_compact(array(%s))" % ", ".join(_probe(i, r) for i, r in enumerate(ruleset.rules))
+        "array_compact(array(%s))" % ", ".join(_probe(i, r) for i, r in enumerate(rules))
     )
     placed = F.flatten(F.transform(probes, lambda p: _placed(p, constants)))
     gated = F.transform(
@@ -344,7 +373,17 @@ def hits(records: DataFrame, ruleset: RuleSet | None = None, *, shapes: bool = T
             parts.append(_shapes(text, kind).cast(f"array<{_FOUND}>"))
         return F.concat(*parts)
 
-    found_hits = let(_rule_hits(ruleset, text, gated, constants), everything)
+    return let(_rule_hits(ruleset, text, gated, constants), everything)
+
+
+def hits(records: DataFrame, ruleset: RuleSet | None = None, *, shapes: bool = True) -> DataFrame:
+    """Every hit in *records*, one row each; see :data:`HIT_COLUMNS`.
+
+    Rows with ``suppressed_by`` set are matches a suppressor or an ignore
+    pattern removed; they are kept so they can be counted.  ``value`` is raw.
+    """
+    ruleset = ruleset or load_rules()
+    found_hits = _found_hits(tuple(ruleset.rules), tuple(ruleset.suppressors), shapes)
     # Outer, so that no emptiness filter is inferred: it would be pushed below
     # the projection and evaluate the whole expression a second time.
     exploded = _with_signs(records, ruleset.rules).select(

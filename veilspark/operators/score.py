@@ -9,23 +9,31 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import collapse_whitespace, location_file, location_record, strip
 from .collapse import severity_rank
 
 
-def _assign(key, plants: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-    """Each plant of one record takes the first unused finding that fits it."""
-    found = found.sort_values("order").to_dict("records")
-    pairs = []
-    for plant in plants.sort_values("plant_id").itertuples():
-        wanted = plant.value.lower()
-        for i, f in enumerate(found):
-            if f["subtype"] == plant.subtype or wanted in f["got"] or f["got"] in wanted:
-                pairs.append((plant.plant_id, f["finding_key"]))
-                del found[i]
-                break
-    return pd.DataFrame(pairs, columns=["plant_id", "finding_key"])
+_PAIRS = T.ArrayType(T.StructType().add("plant_id", T.LongType()).add("finding_key", T.StringType()))
+
+
+@F.pandas_udf(_PAIRS)
+def _assign(plants: pd.Series, found: pd.Series) -> pd.Series:
+    """Each plant of a record takes the first unused finding that fits it."""
+
+    def one(wanted, candidates) -> list[dict]:
+        left, pairs = list(candidates), []
+        for plant in wanted:
+            value = plant["value"].lower()
+            for i, f in enumerate(left):
+                if f["subtype"] == plant["subtype"] or value in f["got"] or f["got"] in value:
+                    pairs.append({"plant_id": plant["plant_id"], "finding_key": f["finding_key"]})
+                    del left[i]
+                    break
+        return pairs
+
+    return pd.Series([one(p, f) for p, f in zip(plants, found)])
 
 
 def finding_key() -> Column:
@@ -49,14 +57,20 @@ def assignments(plants: DataFrame, findings: DataFrame) -> DataFrame:
             F.lpad((100 - F.col("confidence")).cast("string"), 3, "0"), "employee", "location", "rule_id",
         ).alias("order"),
     )
-    wanted = plants.select("plant_id", "file", F.col("record_index").cast("bigint"), "subtype", "value")
-    labelled = placed.join(wanted.select("file", "record_index").distinct(), ["file", "record_index"], "left_semi")
-    schema = wanted.select("plant_id").schema.add("finding_key", "string")
-    return (
-        wanted.groupBy("file", "record_index")
-        .cogroup(labelled.groupBy("file", "record_index"))
-        .applyInPandas(_assign, schema)
+    wanted = plants.select(
+        F.col("plant_id").cast("bigint").alias("plant_id"), "file",
+        F.col("record_index").cast("bigint").alias("record_index"), "subtype", "value",
+    )
+    place = ["file", "record_index"]
+    plants_of = wanted.groupBy(*place).agg(
+        F.array_sort(F.collect_list(F.struct("plant_id", "subtype", "value"))).alias("plants")
+    )
+    found_in = placed.join(wanted.select(*place).distinct(), place, "left_semi").groupBy(*place).agg(
+        F.array_sort(F.collect_list(F.struct("order", "finding_key", "subtype", "got"))).alias("found")
     )
+    return plants_of.join(found_in, place).select(
+        F.explode(_assign("plants", "found")).alias("p")
+    ).select("p.plant_id", "p.finding_key")
 
 
 def scored(plants: DataFrame, matched: DataFrame) -> DataFrame:

@@ -8,12 +8,13 @@ exclude each other) and a structured document.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.regex import found, java_pattern
-from ..functions.text import fold, let, lines, spaced, strip, thousands, words
+from ..functions.regex import found
+from ..functions.text import LINE_BREAK, let, lines, not_blank, spaced, strip, thousands, words
 
 # Fixed values.
 MIN_TABLE_ROWS = 4
@@ -73,7 +74,8 @@ _CELL_END = "\uffff"
 
 def unquoted(line: Column) -> Column:
     """*line* without its quoted parts."""
-    return F.regexp_replace(line, _QUOTED, "")
+    quotes = F.contains(line, F.lit('"')) | F.contains(line, F.lit("'"))
+    return F.when(quotes, F.regexp_replace(line, _QUOTED, "")).otherwise(line)
 
 
 def count_outside_quotes(line: Column, delimiter: str) -> Column:
@@ -108,13 +110,9 @@ def _most_common(counts: Column) -> Column:
     )
 
 
-def _could_hold_table(text: Column) -> Column:
-    """Enough of any one delimiter for the smallest table."""
-    floor = MIN_TABLE_ROWS * MIN_TABLE_SEPARATORS
-    out = F.lit(False)
-    for d in DELIMITERS:
-        out = out | (_separators(text, d) >= floor)
-    return out
+def _enough(text: Column, delimiter: str) -> Column:
+    """Enough of a delimiter for the smallest table."""
+    return _separators(text, delimiter) >= MIN_TABLE_ROWS * MIN_TABLE_SEPARATORS
 
 
 def _separators(bare: Column, delimiter: str | Column) -> Column:
@@ -122,13 +120,15 @@ def _separators(bare: Column, delimiter: str | Column) -> Column:
     return F.length(bare) - F.length(F.replace(bare, d, F.lit("")))
 
 
-def _candidate(bare_rows: Column, delimiter: str) -> Column:
+def _candidate(bare_rows: Column, text: Column, delimiter: str) -> Column:
     """The table one delimiter makes, or NULL."""
+    # Only a line of tabs can be blank and still have separators.
+    rows = F.filter(bare_rows, not_blank) if delimiter == "\t" else bare_rows
     counts = F.filter(
-        F.transform(bare_rows, lambda u: _separators(u, delimiter)),
+        F.transform(rows, lambda u: _separators(u, delimiter)),
         lambda n: n >= MIN_TABLE_SEPARATORS,
     )
-    return let(
+    table = let(
         let(counts, _most_common),
         lambda m: F.when(
             m["n"] >= MIN_TABLE_ROWS,
@@ -139,6 +139,7 @@ def _candidate(bare_rows: Column, delimiter: str) -> Column:
             ),
         ),
     )
+    return F.when(_enough(text, delimiter), table)
 
 
 def table_shape(text: Column) -> Column:
@@ -150,7 +151,7 @@ def table_shape(text: Column) -> Column:
         def best_of(bare_rows: Column) -> Column:
             none = F.lit(None).cast("struct<delimiter:string,rows:int,columns:int>")
             return F.aggregate(
-                F.array(*[_candidate(bare_rows, d) for d in DELIMITERS]),
+                F.array(*[_candidate(bare_rows, text, d) for d in DELIMITERS]),
                 none,
                 lambda best, c: F.when(
                     c.isNotNull() & (best.isNull() | (c["rows"] > best["rows"])), c
@@ -159,7 +160,8 @@ def table_shape(text: Column) -> Column:
 
         return F.when(F.size(rows) >= MIN_TABLE_ROWS, let(bare, best_of))
 
-    return F.when(_could_hold_table(text), let(lines(text), shape))
+    some = reduce(lambda a, b: a | b, [_enough(text, d) for d in DELIMITERS])
+    return F.when(some, let(F.split(text, LINE_BREAK, -1), shape))
 
 
 def personal_fields(line: Column, delimiter: Column) -> Column:

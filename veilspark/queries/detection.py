@@ -133,7 +133,7 @@ def _terms(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part")
     lines = records(
         parts, employee=F.col("p_brand"), session_id=F.lit("s"), kind=F.lit("user_message"),
-        text=F.concat(F.lit("ship the "), F.lower("p_type"), F.lit(" "), F.col("p_name")),
+        text=F.concat(F.lit("ship the "), F.lower("p_type"), F.lit(" lot")),
         file=F.lit("f"), record_index=F.col("p_partkey"),
     )
     return surviving(hits(lines, rules, shapes=False)).select("employee", "location", "start", "value")

@@ -69,7 +69,7 @@ PACK = {
             "pattern": r"(?i)\b(?:logo churn|gross churn|net churn|churn(?: rate)?|net revenue retention|NRR|retention)\b[^\n]{0,25}?(\d{1,3}(?:\.\d+)?\s?%)",
             "group": 1,
             "words": ["churn", "retention", "nrr"],
-            "digits": True,
+            "digits": 1,
         },
         {
             "id": "commercial.cac_ltv.v1",
@@ -155,7 +155,7 @@ PACK = {
             "confidence": 70,
             "pattern": r"[£$€]\s?\d{1,3}(?:,\d{3}){2,}(?:\.\d{2})?|[£$€]\s?\d+(?:\.\d+)?\s?[mb]n?\b",
             "needs": ["£", "$", "€"],
-            "digits": True,
+            "digits": 1,
         },
         {
             "id": "commercial.cap_table.v1",

@@ -1,8 +1,8 @@
 """Internal and proprietary material.
 
-Every match contains one of the folded literals in ``needs`` or one of the whole
-words in ``words``, and a decimal digit where ``digits`` is set.  A scan skips
-the regex where they are absent; they never change a result.
+``needs``, ``words``, ``heads``, ``tails`` and ``digits`` say what every match
+contains (see :class:`veilspark.rules.model.Rule`).  A scan skips the regex where
+they are absent; they never change a result.
 """
 
 # Rule ids, labels, severities, confidences and patterns.
@@ -37,7 +37,7 @@ PACK = {
             "severity": "medium",
             "confidence": 85,
             "pattern": r"\b[a-z0-9][a-z0-9-]*\.(?:internal|intranet|corp|local|lan|private)\.[a-z0-9.-]+\b|\b[a-z0-9-]+\.(?:internal|intranet|corp)\b",
-            "needs": [".internal", ".intranet", ".corp", ".local.", ".lan.", ".private."],
+            "words": ["internal", "intranet", "corp", "local", "lan", "private"],
         },
         {
             "id": "internal.private_ip.v1",
@@ -47,8 +47,7 @@ PACK = {
             "severity": "low",
             "confidence": 80,
             "pattern": r"\b(?:10\.\d{1,3}\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3}|172\.(?:1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3})\b",
-            "needs": ["10.", "192.168.", "172."],
-            "digits": True,
+            "words": ["10", "192", "172"],
         },
         {
             "id": "internal.admin_url.v1",
@@ -58,7 +57,7 @@ PACK = {
             "severity": "medium",
             "confidence": 80,
             "pattern": r"https?://(?:admin|staging|stage|internal|intranet|dev|uat|preprod)[.-][a-z0-9.-]+",
-            "needs": ["://admin", "://stag", "://int", "://dev", "://uat", "://preprod"],
+            "needs": ["://"],
         },
         {
             "id": "internal.project_codename.v1",

@@ -12,7 +12,7 @@ PACK = {
             "severity": "high",
             "confidence": 92,
             "pattern": r"\b(?![DFIQUV])[A-CEGHJ-PR-TW-Z](?![DFIOQUV])[A-CEGHJ-NPR-TW-Z]\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]\b",
-            "digits": True,
+            "digits": 6,
         },
         {
             "id": "pii.nhs_number.v1",
@@ -24,7 +24,7 @@ PACK = {
             "pattern": r"\b\d{3}\s?\d{3}\s?\d{4}\b",
             "context_window": 400,
             "requires_context": ["nhs", "patient", "health"],
-            "digits": True,
+            "digits": 6,
         },
         {
             "id": "pii.uk_passport.v1",
@@ -35,7 +35,7 @@ PACK = {
             "confidence": 70,
             "pattern": r"\b\d{9}\b",
             "requires_context": ["passport"],
-            "digits": True,
+            "digits": 6,
         },
         {
             "id": "pii.uk_driving_licence.v1",
@@ -45,7 +45,7 @@ PACK = {
             "severity": "high",
             "confidence": 90,
             "pattern": r"\b[A-Z9]{5}\d{6}[A-Z9]{2}\d[A-Z]{2}\b",
-            "digits": True,
+            "digits": 6,
         },
         {
             "id": "pii.uk_utr.v1",
@@ -57,7 +57,7 @@ PACK = {
             "pattern": r"\b\d{5}\s?\d{5}\b",
             "context_window": 200,
             "requires_context": ["utr", "taxpayer reference", "tax reference", "self assessment", "hmrc", "cis"],
-            "digits": True,
+            "digits": 6,
         },
         {
             "id": "pii.uk_vat_number.v1",
@@ -68,7 +68,7 @@ PACK = {
             "confidence": 85,
             "pattern": r"\bGB\s?\d{3}\s?\d{4}\s?\d{2}(?:\s?\d{3})?\b",
             "needs": ["gb"],
-            "digits": True,
+            "digits": 6,
         },
         {
             "id": "pii.uk_eori.v1",
@@ -79,7 +79,7 @@ PACK = {
             "confidence": 85,
             "pattern": r"\bGB\d{12}\b",
             "needs": ["gb"],
-            "digits": True,
+            "digits": 6,
         },
         {
             "id": "pii.uk_company_number.v1",
@@ -91,7 +91,7 @@ PACK = {
             "pattern": r"\b(?:0\d{7}|[A-Z]{2}\d{6})\b",
             "context_window": 160,
             "requires_context": ["company number", "companies house", "company no", "registered number", "registration number"],
-            "digits": True,
+            "digits": 6,
         },
         {
             "id": "pii.iban.v1",
@@ -101,7 +101,7 @@ PACK = {
             "severity": "critical",
             "confidence": 92,
             "pattern": r"\b[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){3,6}\b",
-            "digits": True,
+            "digits": 1,
         },
         {
             "id": "pii.uk_bank_details.v1",
@@ -112,7 +112,7 @@ PACK = {
             "confidence": 90,
             "pattern": r"\b\d{2}-\d{2}-\d{2}\b",
             "requires_context": ["sort", "account", "bank", "payroll"],
-            "digits": True,
+            "digits": 6,
         },
         {
             "id": "pii.payment_card.v1",
@@ -123,7 +123,7 @@ PACK = {
             "confidence": 90,
             "pattern": r"\b(?:\d[ -]?){12,18}\d\b",
             "validate": "luhn",
-            "digits": True,
+            "digits": 6,
         },
         {
             "id": "pii.salary.v1",
@@ -135,7 +135,7 @@ PACK = {
             "pattern": r"(?i)\b(?:salary|pay|wage|remuneration)\b[^\n]{0,40}?([£$€]?\s?\d{2,3}[,.]?\d{3})",
             "group": 1,
             "words": ["salary", "pay", "wage", "remuneration"],
-            "digits": True,
+            "digits": 1,
         },
         {
             "id": "pii.salary_column.v1",
@@ -147,7 +147,7 @@ PACK = {
             "pattern": r"(?m),\s?(\d{4,6})\s*$",
             "context_window": 500,
             "requires_context": ["salary", "payroll", "wage", "pay"],
-            "digits": True,
+            "digits": 1,
         },
         {
             "id": "pii.email_address.v1",
@@ -167,7 +167,7 @@ PACK = {
             "severity": "medium",
             "confidence": 80,
             "pattern": r"\b(?:0|\+44\s?)7\d{3}\s?\d{6}\b|\b0[12]\d{2,3}\s?\d{6,7}\b",
-            "digits": True,
+            "digits": 6,
         },
         {
             "id": "pii.uk_postcode.v1",
@@ -177,7 +177,7 @@ PACK = {
             "severity": "low",
             "confidence": 75,
             "pattern": r"\b[A-Z]{1,2}\d[A-Z\d]?\s?\d[A-Z]{2}\b",
-            "digits": True,
+            "digits": 1,
         },
         {
             "id": "pii.date_of_birth.v1",
@@ -189,7 +189,7 @@ PACK = {
             "pattern": r"(?i)\b(?:dob|date of birth|born)\b\s*[:=]?\s*([0-9]{1,2}[/\-. ][A-Za-z0-9]{2,9}[/\-. ][0-9]{2,4})",
             "group": 1,
             "words": ["dob", "birth", "born"],
-            "digits": True,
+            "digits": 1,
         },
         {
             "id": "pii.date_of_birth_column.v1",
@@ -200,7 +200,7 @@ PACK = {
             "confidence": 70,
             "pattern": r"\b\d{1,2} (?:January|February|March|April|May|June|July|August|September|October|November|December) (?:19|20)\d{2}\b",
             "requires_context": ["dob", "date of birth", "born", "new starter"],
-            "digits": True,
+            "digits": 1,
         },
         {
             "id": "pii.person_name.v1",
@@ -222,7 +222,7 @@ PACK = {
             "confidence": 60,
             "pattern": r"(?m)^([A-Z][a-z]+(?:[ '-][A-Z][a-z]+)+),(?=[^\n]*(?:\d{1,2} [A-Z][a-z]+ \d{4}|[A-Z]{2}\s?\d{6}\s?[A-D]))",
             "group": 1,
-            "digits": True,
+            "digits": 1,
         },
         {
             "id": "pii.home_address.v1",
@@ -233,7 +233,7 @@ PACK = {
             "confidence": 75,
             "pattern": r"\b\d{1,4}[a-zA-Z]? [A-Z][a-z]+(?: [A-Z][a-z]+)* (?:Road|Street|Avenue|Lane|Drive|Close|Way|Court|Crescent|Place|Terrace|Gardens)\b",
             "words": ["road", "street", "avenue", "lane", "drive", "close", "way", "court", "crescent", "place", "terrace", "gardens"],
-            "digits": True,
+            "digits": 1,
         },
         {
             "id": "special.health_condition.v1",
@@ -275,7 +275,7 @@ PACK = {
             "pattern": r"\b\d{12}\b",
             "context_window": 200,
             "requires_context": ["dbs", "disclosure and barring", "certificate number", "vetting", "enhanced check"],
-            "digits": True,
+            "digits": 6,
         },
         {
             "id": "special.protected_characteristic.v1",
