@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.regex import found, group_layout, java_pattern
 from ..functions.spans import match_positions, merge_spans, snippet, window
-from ..functions.text import entropy, fold, is_ascii, let, not_blank, spaced, sql_text, sql_texts
-from ..rules.model import DIGIT_RUN, HEAD, TAIL, Rule, RuleSet, Suppressor, load_rules
+from ..functions.text import entropy, fold, let, not_blank, spaced, sql_text, sql_texts
+from ..rules.model import DIGIT_RUN, HEAD, TAIL, TOKEN_RUN, Rule, RuleSet, Suppressor, load_rules
 from ..rules.validators import VALIDATORS
 from ..schema import ref
 from .structure import signals
@@ -65,6 +65,8 @@ def _probe(rule_ix: int, rule: Rule) -> str:
         cheap.append(f"kind IN ({sql_texts(rule.kinds)})")
     if rule.digits:
         cheap.append("digit_run" if rule.digits >= DIGIT_RUN else "has_digit")
+    if rule.run >= TOKEN_RUN:
+        cheap.append("token_run")
     if _signs_of(rule):
         cheap.append(f"arrays_overlap(signs, array({sql_texts(_signs_of(rule))}))")
     if rule.requires_context and all(t.isascii() for t in rule.requires_context):
@@ -99,11 +101,7 @@ def _with_signs(records: DataFrame, rules: list[Rule]) -> DataFrame:
         return F.array(*[F.lit(v) for v in sorted({v for r in rules for v in getattr(r, field)})])
 
     folded, text = F.col("folded"), F.col("text")
-    tokens = F.array_distinct(
-        F.when(is_ascii(folded), F.split(folded, "[^a-z0-9_]+", -1)).otherwise(
-            F.split(folded, r"(?U)\W+", -1)
-        )
-    )
+    tokens = F.array_distinct(F.split(folded, r"(?U)\W+", -1))
 
     def marked(mark: str, found_texts: Column) -> Column:
         return F.transform(found_texts, lambda t: F.concat(F.lit(mark), t))
@@ -131,6 +129,7 @@ def _with_signs(records: DataFrame, rules: list[Rule]) -> DataFrame:
     return records.withColumn("folded", fold(text)).select(
         "*", signs.alias("signs"), has_digit.alias("has_digit"),
         F.when(has_digit, found(text, run)).otherwise(False).alias("digit_run"),
+        text.rlike("[A-Za-z0-9+/_-]{%d}" % TOKEN_RUN).alias("token_run"),
     )
 
 

@@ -79,6 +79,7 @@ PACK = {
             "severity": "high",
             "confidence": 95,
             "pattern": r"(?!x)x",
+            "words": ["(no such word)"],
         },
     ],
 }

@@ -36,7 +36,7 @@ PACK = {
         _rule("aws_access_key_id", "critical", 97, "AWS access key id",
               r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", heads=["aki", "asi"]),
         _rule("aws_secret_access_key", "critical", 90, "AWS secret access key",
-              r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])", min_entropy=4.0,
+              r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])", min_entropy=4.0, run=40,
               requires_context=["aws_secret", "secret_access_key", "secretaccesskey", "secret access key"]),
         _rule("google_api_key", "critical", 95, "Google API key",
               rf"\bAIza{_TOKEN}{{35}}", heads=["aiz"]),
@@ -73,14 +73,14 @@ PACK = {
               r"\b[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}\b",
               requires_context=["postmark"]),
         _rule("twilio_credential", "high", 88, "Twilio account or key SID",
-              r"\b(?:AC|SK)[a-f0-9]{32}\b"),
+              r"\b(?:AC|SK)[a-f0-9]{32}\b", run=34),
         _rule("npm_token", "high", 95, "npm access token", r"\bnpm_[A-Za-z0-9]{36}\b", heads=["npm"]),
         _rule("pypi_token", "high", 95, "PyPI upload token",
               rf"\bpypi-{_TOKEN}{{32,}}", words=["pypi"]),
         _rule("huggingface_token", "high", 93, "Hugging Face token",
               r"\bhf_[A-Za-z0-9]{30,}", heads=["hf_"]),
         _rule("datadog_api_key", "high", 85, "Datadog key",
-              r"\b(?:[a-f0-9]{40}|[a-f0-9]{32})\b", requires_context=["datadog", "dd_api_key", "dd_app_key"],
+              r"\b(?:[a-f0-9]{40}|[a-f0-9]{32})\b", run=32, requires_context=["datadog", "dd_api_key", "dd_app_key"],
               context_window=80),
         _rule("sentry_dsn", "medium", 92, "Sentry DSN",
               r"https://[a-f0-9]{16,64}(?::[a-f0-9]{16,64})?@[a-z0-9.-]*sentry\.io/\d+", needs=["://"]),
@@ -111,7 +111,7 @@ PACK = {
               group=1, words=["client", "ssh"], heads=["_au"]),
         _rule("high_entropy_catch_all", "low", 45, "High-entropy string",
               r"(?<![A-Za-z0-9+/=_.-])(?:[a-f0-9]{32,128}|[A-Za-z0-9+/_-]{40,200}={0,2})(?![A-Za-z0-9+/=_-])",
-              min_entropy=3.2, ignore=[_KNOWN_SHAPES, r"/.*/.*/|^[A-Za-z]+(?:[-_/][A-Za-z]+)+$"],
+              min_entropy=3.2, run=32, ignore=[_KNOWN_SHAPES, r"/.*/.*/|^[A-Za-z]+(?:[-_/][A-Za-z]+)+$"],
               yields=True),
     ],
 }
