@@ -26,6 +26,7 @@ _CLASSES = {
 def java_body(pattern: str) -> str:
     """*pattern* with ``\\s`` and ``\\w`` spelled out, without flags."""
     out, i, in_class = [], 0, False
+    ignores_case = pattern.startswith("(?i")
     while i < len(pattern):
         ch = pattern[i]
         if ch == "\\" and i + 1 < len(pattern):
@@ -55,6 +56,11 @@ def java_body(pattern: str) -> str:
                 out.append("\\]")
                 i += 1
             continue
+        if in_class and ignores_case and pattern[i : i + 3] == "A-Z":
+            # Java folds to lower case but would only look among capitals.
+            out.append("A-Za-z")
+            i += 3
+            continue
         if ch == "&" and in_class and pattern[i : i + 2] == "&&":
             out.append("\\&\\&")  # && intersects classes in Java
             i += 2
