@@ -16,6 +16,7 @@ WHITESPACE_RUN = java_pattern(r"\s+")
 _EDGE_SPACE = java_pattern(r"^\s+|\s+$")
 NON_BLANK = java_pattern(r"\S")
 # Every boundary that ends a line of text.
+_RARE_BREAK = "[\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 ID_SEPARATOR = "\x1f"
@@ -157,9 +158,17 @@ def words(value: Column) -> Column:
     return F.size(F.filter(F.split(value, WHITESPACE_RUN, -1), lambda w: w != ""))
 
 
+def split_lines(value: Column) -> Column:
+    """The lines of *value*, blank ones included."""
+    # One look for the rare line ends is cheaper than splitting on all of them.
+    return F.when(value.rlike(_RARE_BREAK), F.split(value, LINE_BREAK, -1)).otherwise(
+        F.split(value, "\n", -1)
+    )
+
+
 def lines(value: Column) -> Column:
     """The non-blank lines of *value*."""
-    return F.filter(F.split(value, LINE_BREAK, -1), not_blank)
+    return F.filter(split_lines(value), not_blank)
 
 
 def spaced(kind: Column) -> Column:

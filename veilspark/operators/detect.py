@@ -129,7 +129,7 @@ def _with_signs(records: DataFrame, rules: list[Rule]) -> DataFrame:
     return records.withColumn("folded", fold(text)).select(
         "*", signs.alias("signs"), has_digit.alias("has_digit"),
         F.when(has_digit, found(text, run)).otherwise(False).alias("digit_run"),
-        text.rlike("[A-Za-z0-9+/_-]{%d}" % TOKEN_RUN).alias("token_run"),
+        text.rlike("(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d}" % TOKEN_RUN).alias("token_run"),
     )
 
 

@@ -8,13 +8,12 @@ exclude each other) and a structured document.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.regex import found
-from ..functions.text import LINE_BREAK, let, lines, not_blank, spaced, strip, thousands, words
+from ..functions.text import let, lines, not_blank, spaced, split_lines, strip, thousands, words
 
 # Fixed values.
 MIN_TABLE_ROWS = 4
@@ -160,8 +159,7 @@ def table_shape(text: Column) -> Column:
 
         return F.when(F.size(rows) >= MIN_TABLE_ROWS, let(bare, best_of))
 
-    some = reduce(lambda a, b: a | b, [_enough(text, d) for d in DELIMITERS])
-    return F.when(some, let(F.split(text, LINE_BREAK, -1), shape))
+    return let(split_lines(text), shape)
 
 
 def personal_fields(line: Column, delimiter: Column) -> Column:

@@ -137,7 +137,7 @@ class History:
     def all_findings(self) -> DataFrame:
         # A partition without its scan row is a write that never finished.
         return self._read("findings", FINDINGS).join(
-            F.broadcast(self.scans().select("scan_id")), "scan_id", "left_semi"
+            self.scans().select("scan_id"), "scan_id", "left_semi"
         )
 
     def triage_log(self) -> DataFrame:

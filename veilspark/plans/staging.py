@@ -23,9 +23,21 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+_STAGED: list[str] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """*df* written once as Parquet and read back, for plans that use it twice."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard_staged(spark: SparkSession) -> None:
+    """Delete what this process staged.  Staged hits hold raw values."""
+    hadoop = spark._jsparkSession.sessionState().newHadoopConf()
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(hadoop).delete(path, True)

@@ -126,10 +126,12 @@ def _gate_order(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+PART_TYPES = ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD')
+
+
 def _terms(spark: SparkSession, d: str) -> DataFrame:
-    """Customer terms: every part name, looked for in lines about orders."""
-    names = [r[0] for r in table(spark, d, "part").select("p_type").distinct().collect()]
-    rules = with_terms(load_rules(), names).select("internal.custom_term.v1")
+    """Customer terms: the part types, looked for in lines about parts."""
+    rules = with_terms(load_rules(), PART_TYPES).select("internal.custom_term.v1")
     parts = table(spark, d, "part")
     lines = records(
         parts, employee=F.col("p_brand"), session_id=F.lit("s"), kind=F.lit("user_message"),
