@@ -27,22 +27,31 @@ def window(text: Column, start: Column, end: Column, margin: Column) -> Column:
     return F.substring(text, left + 1, end + margin - left)
 
 
-def match_positions(matches: Column, gaps: Column) -> Column:
-    """Start and end of each match, from the matches and the text between them."""
+def _positions(count: Column, gap, match) -> Column:
+    """Spans of *count* matches, given the text before the i-th and the i-th."""
     none = F.array().cast(f"array<{SPAN}>")
     start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc: Column, i: Column) -> Column:
-        s = acc["at"] + F.length(gaps[i])
-        e = s + F.length(matches[i])
+        s = acc["at"] + F.length(gap(i))
+        e = s + F.length(match(i))
         return F.struct(
             e.alias("at"),
             F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e")))).alias("out"),
         )
 
-    return F.aggregate(
-        F.sequence(F.lit(0), F.size(matches) - 1), start, step, lambda acc: acc["out"]
-    )
+    return F.aggregate(F.sequence(F.lit(0), count - 1), start, step, lambda acc: acc["out"])
+
+
+def match_positions(matches: Column, gaps: Column) -> Column:
+    """Start and end of each match, from the matches and the text between them."""
+    return _positions(F.size(matches), lambda i: gaps[i], lambda i: matches[i])
+
+
+def marked_positions(parts: Column) -> Column:
+    """The same from a text split at marks: gap, match, two groups, gap, ..."""
+    count = F.floor((F.size(parts) - 1) / 4).cast("int")
+    return _positions(count, lambda i: parts[i * 4], lambda i: parts[i * 4 + 1])
 
 
 def merge_spans(spans: Column) -> Column:

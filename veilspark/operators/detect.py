@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regex import found, group_layout, java_pattern
-from ..functions.spans import match_positions, merge_spans, snippet, window
+from ..functions.spans import cut, marked_positions, merge_spans, snippet, window
 from ..functions.text import entropy, fold, let, not_blank, spaced, sql_text, sql_texts
 from ..rules.model import DIGIT_RUN, HEAD, TAIL, TOKEN_RUN, Rule, RuleSet, Suppressor, load_rules
 from ..rules.validators import VALIDATORS
@@ -28,6 +28,10 @@ BULK_SUBTYPES = 6
 BULK_CATEGORIES = ("pii", "special-category")
 BULK = ("pii.bulk_personal_records.v1", "pii", "bulk_personal_records", "critical", 90)
 
+# Characters no text should hold: the mark set around matches, and what takes its
+# place should a text hold it after all.
+MARK, MARK_STAND_IN = "\uffff", "\ufffe"
+
 #: A gate that fails without being counted.
 DROPPED = ""
 
@@ -55,11 +59,9 @@ def _probe(rule_ix: int, rule: Rule) -> str:
     CASE keeps that order where the operands of AND may be swapped.
     """
     where, pattern = group_layout(rule.pattern, rule.group)
-    regex = sql_text(java_pattern(pattern))
-    group = rule.group + (1 if where == "middle" else 0)
-    whole = f"regexp_extract_all(text, {regex}, 0)"
-    value = whole if rule.group == 0 else f"regexp_extract_all(text, {regex}, {group})"
-    before = f"regexp_extract_all(text, {regex}, 1)" if where == "middle" else "NULL"
+    before = "$1" if where == "middle" else ""
+    value = "" if rule.group == 0 else f"${rule.group + (1 if where == 'middle' else 0)}"
+    marked = MARK + "$0" + MARK + before + MARK + value + MARK
     cheap = []
     if rule.kinds:
         cheap.append(f"kind IN ({sql_texts(rule.kinds)})")
@@ -73,10 +75,11 @@ def _probe(rule_ix: int, rule: Rule) -> str:
         cheap.append(
             " OR ".join(f"contains(folded, {sql_text(t.lower())})" for t in rule.requires_context)
         )
+    # One pass: every match is set between marks, and the text split at the marks.
+    replaced = f"regexp_replace(marked, {sql_text(java_pattern(pattern))}, {sql_text(marked)})"
     out = (
-        f"CASE WHEN text RLIKE {regex} THEN named_struct('rule_ix', {rule_ix}, 'whole', {whole}, "
-        f"'value', {value}, 'before', CAST({before} AS array<string>), "
-        f"'gaps', split(text, {regex}, -1)) END"
+        f"transform(array({replaced}), r -> CASE WHEN octet_length(r) > octet_length(marked) THEN "
+        f"named_struct('rule_ix', {rule_ix}, 'parts', split(r, {sql_text(MARK)}, -1)) END)[0]"
     )
     for condition in reversed(cheap):
         out = f"CASE WHEN {condition} THEN {out} END"
@@ -127,7 +130,7 @@ def _with_signs(records: DataFrame, rules: list[Rule]) -> DataFrame:
     run = r"\d(?:[\s-]?\d){%d}" % (DIGIT_RUN - 1)
     has_digit = found(text, r"\d")
     return records.withColumn("folded", fold(text)).select(
-        "*", signs.alias("signs"), has_digit.alias("has_digit"),
+        "*", F.replace(text, F.lit(MARK), F.lit(MARK_STAND_IN)).alias("marked"), signs.alias("signs"), has_digit.alias("has_digit"),
         F.when(has_digit, found(text, run)).otherwise(False).alias("digit_run"),
         text.rlike("(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d}" % TOKEN_RUN).alias("token_run"),
     )
@@ -155,13 +158,14 @@ def _constants(rules: list[Rule]) -> Column:
 
 def _placed(probe: Column, constants: Column) -> Column:
     """Matches of one rule with their offsets; blank values are dropped."""
-    where = constants[probe["rule_ix"]]["place"]
+    where, parts = constants[probe["rule_ix"]]["place"], probe["parts"]
 
     def place(span: Column, i: Column) -> Column:
-        value = probe["value"][i]
+        whole, before, group = (parts[i * 4 + k] for k in (1, 2, 3))
+        value = F.when(where == "whole", whole).otherwise(group)
         start = (
             F.when(where == "tail", span["e"] - F.length(value))
-            .when(where == "middle", span["s"] + F.length(probe["before"][i]))
+            .when(where == "middle", span["s"] + F.length(before))
             .otherwise(span["s"])
         )
         return F.struct(
@@ -173,8 +177,12 @@ def _placed(probe: Column, constants: Column) -> Column:
             value.alias("value"),
         )
 
-    spans = match_positions(probe["whole"], probe["gaps"])
-    return F.filter(F.transform(spans, place), lambda h: not_blank(h["value"]))
+    spans = marked_positions(parts)
+    found_here = F.filter(F.transform(spans, place), lambda h: not_blank(h["value"]))
+    # A text that held the mark itself was searched with a stand-in for it.
+    return F.when(F.col("text") == F.col("marked"), found_here).otherwise(
+        F.transform(found_here, lambda h: h.withField("value", cut(F.col("text"), h["start"], h["end"])))
+    )
 
 
 def _lacks_context(text: Column, hit: Column, rule: Column) -> Column:
@@ -184,7 +192,15 @@ def _lacks_context(text: Column, hit: Column, rule: Column) -> Column:
     )
 
 
-def _gate(ruleset: RuleSet, text: Column, hit: Column, constants: Column) -> Column:
+def _active(ruleset: RuleSet, folded: Column) -> Column:
+    """Numbers of the suppressors that could match anything in a text."""
+    return F.array_compact(F.array(*[
+        F.when(_any_of([F.contains(folded, F.lit(n)) for n in s.needs]) if s.needs else F.lit(True), F.lit(i))
+        for i, s in enumerate(ruleset.suppressors)
+    ])).cast("array<int>")
+
+
+def _gate(ruleset: RuleSet, text: Column, hit: Column, constants: Column, active: Column) -> Column:
     """Why a match does not count: a suppression id, DROPPED, or NULL.
 
     The order is ignore, validator, entropy, context, suppressors; it decides
@@ -211,11 +227,11 @@ def _gate(ruleset: RuleSet, text: Column, hit: Column, constants: Column) -> Col
         branches.append((_lacks_context(text, hit, rule), F.lit(DROPPED)))
 
     near = window(text, hit["match_start"], hit["match_end"], F.lit(SUPPRESSOR_WINDOW))
-    for s in ruleset.suppressors:
+    for i, s in enumerate(ruleset.suppressors):
         matched = found(value if s.scope == "value" else near, s.pattern)
         if s.categories:
             matched = rule["category"].isin(*s.categories) & matched
-        branches.append((matched, F.lit(s.id)))
+        branches.append((F.when(F.array_contains(active, i), matched).otherwise(False), F.lit(s.id)))
 
     out = F.lit(None).cast("string")
     for condition, reason in reversed(branches):
@@ -359,10 +375,19 @@ def _found_hits(rules: tuple[Rule, ...], suppressors: tuple[Suppressor, ...], sh
         "array_compact(array(%s))" % ", ".join(_probe(i, r) for i, r in enumerate(rules))
     )
     placed = F.flatten(F.transform(probes, lambda p: _placed(p, constants)))
-    gated = F.transform(
-        placed,
-        lambda h: F.struct(h.alias("hit"), _gate(ruleset, text, h, constants).alias("reason")),
-    )
+
+    def judged(matches: Column) -> Column:
+        # Suppressors are looked into once per record, and only where something matched.
+        active = F.when(F.size(matches) > 0, _active(ruleset, F.col("folded")))
+        return let(
+            active,
+            lambda a: F.transform(
+                matches,
+                lambda h: F.struct(h.alias("hit"), _gate(ruleset, text, h, constants, a).alias("reason")),
+            ),
+        )
+
+    gated = let(placed, judged)
 
     def everything(rule_hits: Column) -> Column:
         parts = [rule_hits.cast(f"array<{_FOUND}>")]

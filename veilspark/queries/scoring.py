@@ -126,6 +126,10 @@ SQL = {
     "score_missed": f"""
         SELECT 'p' || CAST(c_custkey AS varchar) AS employee, {quoted(LOST[0])} AS subtype, {quoted(LOST[1])} AS value
         FROM customer WHERE c_acctbal < 0""",
+    # The pay rule also sees five digits in a row inside the payment key.
+    "score_unlabelled": """
+        SELECT 'pii.salary.v1' AS rule_id, count(*) AS n FROM customer
+        WHERE regexp_matches(md5(c_name), '[0-9]{5}') HAVING count(*) > 0""",
     "control_verdict": """
         SELECT 'c' AS who, 'PASS' AS verdict, count(*) AS people FROM supplier
         UNION ALL SELECT 'p', 'FAIL', count(*) FROM customer""",

@@ -16,6 +16,11 @@ SUFFIXES = (".txt", ".md", ".log", ".text")
 RESULT_FOLDERS = ("tool-results", "tool_results")
 
 
+# Chunks cut from one stretch; finding a place in a text costs its length, so a
+# long text is cut into stretches first.
+_STRETCH = 64
+
+
 def chunks(texts: DataFrame) -> DataFrame:
     """Explode ``text`` into ``chunk`` and ``chunk_index``.
 
@@ -24,12 +29,20 @@ def chunks(texts: DataFrame) -> DataFrame:
     """
     step = CHUNK_SIZE - CHUNK_OVERLAP
     last = F.greatest(F.lit(0), F.ceil((F.length("text") - CHUNK_SIZE) / step)).cast("int")
+    stretches = texts.withColumn("_last", last).withColumn(
+        "_first", F.explode(F.sequence(F.lit(0), F.col("_last"), F.lit(_STRETCH)))
+    ).withColumn(
+        "text",
+        F.when(F.col("_last") < _STRETCH, F.col("text")).otherwise(
+            F.substring("text", F.col("_first") * step + 1, F.lit((_STRETCH - 1) * step + CHUNK_SIZE))
+        ),
+    )
+    nth = F.sequence(F.lit(0), F.least(F.col("_last") - F.col("_first"), F.lit(_STRETCH - 1)))
     return (
-        texts.withColumn("chunk_index", F.explode(F.sequence(F.lit(0), last)))
-        .withColumn(
-            "chunk", F.substring("text", F.col("chunk_index") * step + 1, F.lit(CHUNK_SIZE))
-        )
-        .drop("text")
+        stretches.withColumn("_nth", F.explode(nth))
+        .withColumn("chunk", F.substring("text", F.col("_nth") * step + 1, F.lit(CHUNK_SIZE)))
+        .withColumn("chunk_index", F.col("_first") + F.col("_nth"))
+        .drop("text", "_last", "_first", "_nth")
         .where(not_blank(F.col("chunk")))
     )
 
