@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..sources import account_export, embedded, plain_text, session_log
-from ..sources.files import classify
+from ..plans.staging import shared_folder
+from ..sources.files import classify, decode, read_root
 from ..sources.tables import conversation_records, document_records
 from ..sources.transcripts import with_format
 
@@ -210,7 +213,20 @@ def _payload_problems(spark: SparkSession, d: str) -> DataFrame:
     return embedded.expand(_with_payloads(spark, d))[1].select("file", "record_index", "code", "message")
 
 
+def _folder_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The documents written as a folder per person, then read back as a scan root."""
+    root = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    table(spark, d, "documents").select("source", "lang", "text").write.partitionBy("source", "lang").text(root)
+    found = read_root(spark, root)
+    text = decode(F.col("content"))
+    return found.files.groupBy("employee", paths.parts(F.col("path"))[1].alias("folder")).agg(
+        F.sum(F.length(text)).alias("characters"),
+        F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).alias("lines"),
+    )
+
+
 QUERIES = {
+    "folder_scan": _folder_scan,
     "classify_paths": _classify,
     "kind_and_session": _kind_and_session,
     "file_formats": _formats,
@@ -249,6 +265,11 @@ _OWN, _STEM_SESSION = "'s' || CAST(conv_id AS varchar)", "CAST(conv_id AS varcha
 _T = "'T' || CAST(turn AS varchar)"
 
 SQL = {
+    "folder_scan": """
+        SELECT 'source=' || source AS employee, 'lang=' || lang AS folder, sum(length(text) + 1) AS characters,
+               sum(length(text) - length(replace(text, chr(10), '')) + 1) AS lines
+        FROM (SELECT source, lang, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents)
+        GROUP BY ALL""",
     "classify_paths": f"""
         WITH p AS (SELECT *, {_FILE} AS file, string_split(path, '/') AS parts, {_SUFFIX} AS suffix FROM ({_DOC_PATHS})),
         tidy AS (

@@ -21,11 +21,13 @@ RESULT_FOLDERS = ("tool-results", "tool_results")
 _STRETCH = 64
 
 
-def chunks(texts: DataFrame) -> DataFrame:
+def chunks(texts: DataFrame, *, spread_by: str | None = None) -> DataFrame:
     """Explode ``text`` into ``chunk`` and ``chunk_index``.
 
     Chunks overlap, so a value on a boundary is whole in one of them.  A blank
-    chunk is skipped but keeps its number; the last one reaches the end.
+    chunk is skipped but keeps its number; the last one reaches the end.  With
+    *spread_by*, a column that tells texts apart, stretches of a text go to
+    different tasks.
     """
     step = CHUNK_SIZE - CHUNK_OVERLAP
     last = F.greatest(F.lit(0), F.ceil((F.length("text") - CHUNK_SIZE) / step)).cast("int")
@@ -37,6 +39,8 @@ def chunks(texts: DataFrame) -> DataFrame:
             F.substring("text", F.col("_first") * step + 1, F.lit((_STRETCH - 1) * step + CHUNK_SIZE))
         ),
     )
+    if spread_by:
+        stretches = stretches.repartition(spread_by, "_first")
     nth = F.sequence(F.lit(0), F.least(F.col("_last") - F.col("_first"), F.lit(_STRETCH - 1)))
     return (
         stretches.withColumn("_nth", F.explode(nth))
@@ -75,9 +79,9 @@ def session_of(path: Column) -> Column:
     return F.when(spilled, F.try_element_at(parts, F.lit(-3))).otherwise(stem(file_name(path)))
 
 
-def parse(files: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def parse(files: DataFrame, *, large: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """``files(path, employee, file_key, text)`` to records; there are no problems."""
-    cut = chunks(files.where(not_blank(F.col("text"))))
+    cut = chunks(files.where(not_blank(F.col("text"))), spread_by="path" if large else None)
     return records(
         cut,
         employee=F.col("employee"), session_id=session_of(F.col("path")), source=F.lit(SOURCE_TEXT),
