@@ -44,8 +44,8 @@ def finding_key() -> Column:
 def assignments(plants: DataFrame, findings: DataFrame) -> DataFrame:
     """``(plant_id, finding_key)``: one finding for one plant, greedily in order.
 
-    A match never leaves its record, so each record is worked out on its own.
-    Findings of records without plants are not shipped anywhere.
+    A match never leaves its record, so each record is worked out on its own and
+    what is gathered is bounded by it.  Findings of records without plants stay out.
     """
     placed = findings.select(
         location_file(F.col("location")).alias("file"),

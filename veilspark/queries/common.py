@@ -54,10 +54,10 @@ def matches_sql(source: str, keys: str, pattern: str) -> str:
     p = quoted(pattern)
     return f"""
       SELECT {keys}, text, i, m[i] AS value,
-             coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0)
-             + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS s,
-             coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0)
-             + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0) AS e
+             CAST(coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0)
+                  + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS bigint) AS s,
+             CAST(coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0)
+                  + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0) AS bigint) AS e
       FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i
             FROM (SELECT {keys}, text, regexp_extract_all(text, {p}) AS m, regexp_split_to_array(text, {p}) AS g
                   FROM ({source}) WHERE regexp_matches(text, {p})))"""

@@ -215,11 +215,11 @@ SQL = {
                'shown' AS snippet FROM ({_FINDINGS})""",
     "survey": f"""
         WITH r AS ({_RECORDS})
-        SELECT 'kind' AS dimension, kind AS label, count(*) AS records, sum(n) AS characters FROM r GROUP BY kind
-        UNION ALL SELECT 'employee', employee, count(*), sum(n) FROM r GROUP BY employee
-        UNION ALL SELECT 'source', source, count(*), sum(n) FROM r GROUP BY source
+        SELECT 'kind' AS dimension, kind AS label, count(*) AS records, CAST(sum(n) AS bigint) AS characters FROM r GROUP BY kind
+        UNION ALL SELECT 'employee', employee, count(*), CAST(sum(n) AS bigint) FROM r GROUP BY employee
+        UNION ALL SELECT 'source', source, count(*), CAST(sum(n) AS bigint) FROM r GROUP BY source
         UNION ALL SELECT DISTINCT 'employee', s_name, 0, 0 FROM supplier""",
-    "record_totals": f"SELECT count(*) AS records, sum(n) AS characters FROM ({_RECORDS})",
+    "record_totals": f"SELECT count(*) AS records, CAST(sum(n) AS bigint) AS characters FROM ({_RECORDS})",
     "rule_violations": """
         SELECT problem, count(*) AS n FROM (
           SELECT unnest(list_filter([

@@ -149,7 +149,7 @@ def _log_problems(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _exports(spark: SparkSession, d: str) -> DataFrame:
-    """One export file per conversation, holding it twice and a broken one."""
+    """An export file per fifty turns, holding them twice and a broken conversation."""
     person = F.concat(F.lit("c"), (F.col("conv_id") % 20).cast("string"))
     message = F.struct(
         "turn", F.col("role").alias("sender"), F.concat(F.lit("T"), F.col("turn").cast("string")).alias("created_at"),
@@ -160,13 +160,17 @@ def _exports(spark: SparkSession, d: str) -> DataFrame:
             F.struct(F.lit("b.txt").alias("file_name"), F.lit(" ").alias("extracted_content")),
         ).alias("attachments"),
     )
-    grouped = table(spark, d, "conversations").groupBy("conv_id", person.alias("employee")).agg(
+    part = F.floor(F.col("turn") / 50).alias("part")
+    grouped = table(spark, d, "conversations").groupBy("conv_id", part, person.alias("employee")).agg(
         F.array_sort(F.collect_list(message)).alias("chat_messages")
     )
     body = F.to_json(F.struct(
         F.concat(F.lit("u"), F.col("conv_id").cast("string")).alias("uuid"), F.lit("Name").alias("name"), "chat_messages"
     ))
-    path = F.concat("employee", F.lit("/conversations-"), F.col("conv_id").cast("string"), F.lit(".json"))
+    path = F.concat(
+        "employee", F.lit("/conversations-"), F.col("conv_id").cast("string"), F.lit("-"),
+        F.col("part").cast("string"), F.lit(".json"),
+    )
     return grouped.select(
         path.alias("path"), "employee", F.split(path, "/").alias("file_key"),
         F.concat(F.lit("["), body, F.lit(', {"name": "odd"}, '), body, F.lit("]")).alias("text"),
@@ -247,7 +251,7 @@ _FILE = "split_part(path, '/', -1)"
 _SUFFIX = "CASE WHEN contains(path, '.') THEN '.' || lower(split_part(path, '.', -1)) ELSE '' END"
 _STEM = "regexp_replace(file, '\\.[^.]*$', '')"
 _CONV_FILE = "'c' || CAST(conv_id % 20 AS varchar) || '/' || CAST(conv_id AS varchar) || '.jsonl'"
-_EXPORT_FILE = "'c' || CAST(conv_id % 20 AS varchar) || '/conversations-' || CAST(conv_id AS varchar) || '.json'"
+_EXPORT_FILE = "'c' || CAST(conv_id % 20 AS varchar) || '/conversations-' || CAST(conv_id AS varchar) || '-' || CAST(turn // 50 AS varchar) || '.json'"
 _KIND = "CASE role WHEN 'user' THEN 'user_message' WHEN 'system' THEN 'system_prompt' ELSE 'assistant_message' END"
 _BYTES = "octet_length(encode(text))"
 _LONG = f"4 * ({_BYTES} // 3) + CASE {_BYTES} % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 3 END >= 64"
@@ -266,8 +270,8 @@ _T = "'T' || CAST(turn AS varchar)"
 
 SQL = {
     "folder_scan": """
-        SELECT 'source=' || source AS employee, 'lang=' || lang AS folder, sum(length(text) + 1) AS characters,
-               sum(length(text) - length(replace(text, chr(10), '')) + 1) AS lines
+        SELECT 'source=' || source AS employee, 'lang=' || lang AS folder, CAST(sum(length(text) + 1) AS bigint) AS characters,
+               CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS bigint) AS lines
         FROM (SELECT source, lang, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents)
         GROUP BY ALL""",
     "classify_paths": f"""
@@ -316,8 +320,8 @@ SQL = {
               UNION ALL SELECT {_CONV_FILE}, turn, 'unknown_block', 'unrecognised block type ''strange'' — not scanned'
               FROM conversations WHERE role = 'assistant')""",
     "account_export_records": f"""
-        WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth,
-                          count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+        WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn // 50 ORDER BY turn) - 1 AS nth,
+                          count(*) OVER (PARTITION BY conv_id, turn // 50) AS n FROM conversations),
         twice AS (SELECT *, nth AS position FROM c UNION ALL SELECT *, n + nth FROM c)
         SELECT {_EXPORT_FILE} AS file, position AS record_index, block AS block_index,
                CASE WHEN block = 1 THEN 'attachment' WHEN role = 'user' THEN 'user_message' ELSE 'assistant_message' END AS kind,

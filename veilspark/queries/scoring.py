@@ -122,7 +122,7 @@ SQL = {
     "score_recall": f"""
         WITH c AS (SELECT category, hits, hits + CASE category WHEN 'commercial' THEN {_DEBTORS} ELSE 0 END AS plants FROM ({_LABELS}))
         SELECT category, hits, plants, hits / plants AS recall FROM c
-        UNION ALL SELECT '(all)', sum(hits), sum(plants), sum(hits) / sum(plants) FROM c""",
+        UNION ALL SELECT '(all)', CAST(sum(hits) AS bigint), CAST(sum(plants) AS bigint), CAST(sum(hits) AS bigint) / CAST(sum(plants) AS bigint) FROM c""",
     "score_missed": f"""
         SELECT 'p' || CAST(c_custkey AS varchar) AS employee, {quoted(LOST[0])} AS subtype, {quoted(LOST[1])} AS value
         FROM customer WHERE c_acctbal < 0""",
@@ -133,6 +133,6 @@ SQL = {
     "control_verdict": """
         SELECT 'c' AS who, 'PASS' AS verdict, count(*) AS people FROM supplier
         UNION ALL SELECT 'p', 'FAIL', count(*) FROM customer""",
-    "category_gap": "SELECT 'internal' AS category, 'detected only' AS gap FROM customer LIMIT 1",
+    "category_gap": "SELECT DISTINCT 'internal' AS category, 'detected only' AS gap FROM customer",
     "stream_scan": _DETECTION_SQL["detect_payment_card"],
 }

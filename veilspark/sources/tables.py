@@ -13,14 +13,20 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: A table up to this size may be shuffled to use every core.
+SMALL_TABLE = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core for a table kept in a few files.
+    """Use every core for a small table kept in a few files.
 
-    A small table often is one row group, hence one task.  A large one has more
-    files than there are cores and is left as it is: no shuffle.
+    A small table often is one row group, hence one task.  Anything larger than
+    :data:`SMALL_TABLE` is read as it lies: its texts are not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    few = size <= SMALL_TABLE and len(df.inputFiles()) < cores
+    return df.repartition(2 * cores) if few else df
 
 
 def document_records(documents: DataFrame) -> DataFrame:
