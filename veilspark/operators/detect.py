@@ -94,8 +94,9 @@ def _signs_of(rule: Rule) -> list[str]:
     ]
 
 
-def _with_signs(records: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Add what the cheap conditions look at, worked out once per record.
+@lru_cache(maxsize=64)
+def _sign_columns(rules: tuple[Rule, ...]) -> tuple[Column, ...]:
+    """What the cheap conditions look at, from ``text`` and ``folded``.
 
     ``signs`` lists the needed literals, words, beginnings and ends that occur.
     One pass over the words replaces a search for each.
@@ -129,13 +130,19 @@ def _with_signs(records: DataFrame, rules: list[Rule]) -> DataFrame:
     signs = F.concat(*parts) if parts else F.array().cast("array<string>")
     run = r"\d(?:[\s-]?\d){%d}" % (DIGIT_RUN - 1)
     has_digit = found(text, r"\d")
-    return records.withColumn("folded", fold(text)).select(
-        "*", F.replace(text, F.lit(MARK), F.lit(MARK_STAND_IN)).alias("marked"), signs.alias("signs"), has_digit.alias("has_digit"),
+    return (
+        F.replace(text, F.lit(MARK), F.lit(MARK_STAND_IN)).alias("marked"), signs.alias("signs"),
+        has_digit.alias("has_digit"),
         F.when(has_digit, found(text, run)).otherwise(False).alias("digit_run"),
         text.rlike("(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d}" % TOKEN_RUN).alias("token_run"),
     )
 
 
+def _with_signs(records: DataFrame, rules: list[Rule]) -> DataFrame:
+    """*records* with their signs, worked out once per record."""
+    return records.withColumn("folded", fold(F.col("text"))).select("*", *_sign_columns(tuple(rules)))
+
+
 _CONSTANTS = (
     "array<struct<id:string,category:string,subtype:string,severity:string,confidence:int,"
     "place:string,window:int,terms:array<string>,floor:double>>"

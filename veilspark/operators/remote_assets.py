@@ -51,7 +51,7 @@ def _references(markup: Column, rank: int, pattern: str) -> Column:
 def remote_assets(pages: DataFrame, *, key: str = "page_id", markup: str = "html") -> DataFrame:
     """``(key, line, url, kind)``, one row per page, line and URL.
 
-    The contexts overlap; the first that fits names the reference.
+    The contexts overlap; the first that fits names the kind.
     """
     text = F.col(markup)
     listed = F.concat(*[_references(text, i, p) for i, (_, p) in enumerate(CONTEXTS)])
