@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .mixing import uniform
+from .words import whole
 
 UNKNOWN = "und"
 #: Bytes of text whose windows are held at once.
@@ -80,7 +81,7 @@ class Network:
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(index of the label, score)`` of each text; a text without bytes scores 0."""
-        low = pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string()))
+        low = whole(texts)
         offsets = np.frombuffer(low.buffers()[1], np.int64)[low.offset:low.offset + len(low) + 1]
         data = np.frombuffer(low.buffers()[2] or b"", np.uint8)
         total = np.zeros((len(low), len(self.labels)))
@@ -101,13 +102,13 @@ class Network:
 
 def training_windows(
     labelled: DataFrame, *, text: str = "text", label: str = "lang", key: str = "doc_id",
-    per_label: int = 400, crops: int = 4, window: int = 512,
+    per_label: int = 400, crops: int = 4, window: int = 512, max_labels: int = 1000,
 ) -> list[tuple[str, str]]:
     """A bounded sample of ``(label, window)``: *per_label* documents of each label, *crops* windows each.
 
     Documents are drawn by a hash of *key* from all labelled rows whose text has a
     letter; windows start anywhere in a text and get shorter by turns.  Null labels
-    are left out.  The driver receives at most ``labels * per_label * crops *
+    are left out, and labels beyond the *max_labels* most frequent are not learned.  The driver receives at most ``labels * per_label * crops *
     window`` characters.
     """
     rows = labelled.select(
@@ -115,7 +116,7 @@ def training_windows(
     ).where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     # rows below the bound are drawn first, so no label is ever ranked as a whole
-    few = rows.join(F.broadcast(counts.limit(1000)), "label").where(F.col("u") * F.col("n") < 2 * per_label)
+    few = rows.join(F.broadcast(counts.orderBy(F.desc("n"), "label").limit(max_labels)), "label").where(F.col("u") * F.col("n") < 2 * per_label)
     size = F.array(*(F.lit(max(16, window >> (i % 4))) for i in range(crops)))
     windows = few.select(
         "label", "u", "key",
@@ -133,7 +134,8 @@ def train(
     depth: int = 8, epochs: int = 8, batch: int = 64, rate: float = 0.004, seed: int = 7,
 ) -> Network:
     """Fit the network to ``(label, text)`` samples with Adam on the cross-entropy."""
-    rng, labels = np.random.default_rng(seed), sorted({label for label, _ in samples})
+    rng = np.random.default_rng(seed)
+    labels = sorted({label for label, _ in samples})
     widest, n_filters = max(widths), filters * len(widths)
     mask = np.zeros((widest, depth, n_filters), np.float32)
     for i, w in enumerate(widths):

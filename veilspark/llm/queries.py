@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.staging import shared_folder
-from . import chat, language, mixing, token_ids, warc
+from . import chat, decontamination, jaccard, language, mixing, near_vectors, secret_forest, token_ids, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -195,3 +195,45 @@ QUERIES = {
     "op5_language": op5_language, "op8_token_ids": op8_token_ids,
 }
 SQL = {"op2_mix_sources": OP2_SQL, "op3_warc": OP3_SQL, "op4_chat": OP4_SQL}
+
+
+# 10: near-duplicate vectors
+
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op10_near_vectors"] = op10_near_vectors
+
+
+# 7: benchmark decontamination
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op7_decontaminate"] = op7_decontaminate
+
+
+# 9: secrets
+
+def secret_model(docs: DataFrame) -> secret_forest.Forest:
+    words = secret_forest.learn_language(docs)
+    return secret_forest.train(secret_forest.planted_findings(docs), words)
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return secret_forest.secrets(docs, secret_model(docs))
+
+
+QUERIES["op9_secrets"] = op9_secrets
+
+
+# 6: n-gram Jaccard join
+
+def op6_shingle_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.shingle_groups(_read(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_shingle_groups"] = op6_shingle_groups

@@ -29,10 +29,18 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE) -
             start = stop
 
 
+def whole(texts: pa.Array, lower: bool = True) -> pa.Array:
+    """*texts* without nulls, A-Z in lower case if asked, in buffers of their own.
+
+    The copy matters: kernels that change bytes may misread a slice of larger buffers.
+    """
+    texts = pc.fill_null(texts, "").cast(pa.large_string()).take(pa.array(np.arange(len(texts))))
+    return pc.ascii_lower(texts) if lower else texts
+
+
 def split(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """``(offsets, codes, vocabulary)``: row *i* has ``codes[offsets[i]:offsets[i + 1]]``."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    parts = pc.ascii_split_whitespace(whole(texts, lower))
     offsets = np.asarray(parts.offsets, dtype=np.int64)
     flat = parts.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
     offsets, codes, vocabulary = offsets - offsets[0], flat.indices.to_numpy(), flat.dictionary
