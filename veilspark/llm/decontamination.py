@@ -23,9 +23,9 @@ EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
 def plain_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """``(offsets, hashes)`` of words without punctuation at their ends; bare punctuation is no word."""
-    offsets, codes, vocabulary = words.split(texts)
-    vocabulary = pc.ascii_trim(vocabulary, EDGES)
+    """``(offsets, hashes)`` of lower-case words without punctuation at their ends; bare punctuation is no word."""
+    offsets, codes, vocabulary = words.split(texts, lower=False)
+    vocabulary = pc.ascii_trim(pc.utf8_lower(vocabulary.take(pa.array(np.arange(len(vocabulary))))), EDGES)
     blank = np.asarray(pc.equal(vocabulary, ""))
     hashed = words.hashes(vocabulary)[codes] if len(codes) else np.zeros(0, np.uint64)
     kept = ~blank[codes] if len(codes) else np.zeros(0, bool)

@@ -98,3 +98,23 @@ def mixture(
     return base.join(ranges, ["name", "range"]).select(
         "doc_id", "source", "size", "source_size", "target", passes,
     ).withColumn("taken", F.col("size") * F.col("passes"))
+
+
+def take(docs: DataFrame, weights: DataFrame | None = None, **options) -> DataFrame:
+    """The rows of *docs* that the mix takes, each as often as :func:`mixture` says; all columns are kept.
+
+    Rows that repeat an id, a source and a size share what the mix takes of them.
+    """
+    mixed = mixture(docs, weights, **options)
+    alike = Window.partitionBy("_id", "_source", "_size")
+    mixed = mixed.select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "passes",
+    ).withColumn("_n", F.row_number().over(alike.orderBy(F.desc("passes")))).where("passes > 0")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), size.alias("_size"))
+    rows = rows.withColumn("_n", F.row_number().over(alike.orderBy("row.text")))
+    mixed = mixed.toDF(*(f"m{c}" for c in mixed.columns))
+    same = [rows[c].eqNullSafe(mixed[f"m{c}"]) for c in ("_id", "_source", "_size", "_n")]
+    joined = rows.join(mixed, same).select("row", F.explode(F.array_repeat(F.lit(0), F.col("mpasses").cast("int"))))
+    return joined.select("row.*")

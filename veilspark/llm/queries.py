@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.staging import shared_folder
-from . import chat, decontamination, jaccard, language, mixing, near_vectors, secret_forest, token_ids, warc
+from . import chat, decontamination, jaccard, kneser_ney, language, mixing, near_vectors, secret_forest, token_ids, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -181,15 +181,19 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # 8: token ids
 
-def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+def token_id_shards(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Write shards of all documents, and read them back."""
     import public_tokenizers
 
     path = _place(spark, "token-ids")
-    token_ids.write_shards(token_ids.encode_shards(
-        _read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2), path)
+    token_ids.write_shards(token_ids.encode_shards(docs, public_tokenizers.path("word_bpe_49k.json"), end=2), path)
     return token_ids.read_documents(spark, path)
 
 
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_id_shards(spark, _read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_mix_sources": op2_mix_sources, "op3_warc": op3_warc, "op4_chat": op4_chat,
     "op5_language": op5_language, "op8_token_ids": op8_token_ids,
@@ -237,3 +241,12 @@ def op6_shingle_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_shingle_groups"] = op6_shingle_groups
+
+
+# 1: language-model scores
+
+def op1_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score_texts(_read(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) == 2)
+
+
+QUERIES["op1_score_texts"] = op1_score_texts
