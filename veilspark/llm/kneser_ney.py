@@ -33,6 +33,8 @@ from .jaccard import pack, steps, unpack
 #: A blank is never part of a word, so no word has this hash.
 END = np.uint64(xxhash.xxh3_64_intdigest("\n"))
 UNKNOWN = 0
+#: Shards for each shuffle partition: a shard's arrays take some tens of megabytes while it is scored.
+SHARDS = 2
 #: A context with more than this share of a shard's bigrams is spread by its next word.
 FREQUENT = 8
 
@@ -224,20 +226,23 @@ def _count_shard(frequent: np.ndarray, width: int):
         parts = [unpack(x) for x in table.column("items").to_pylist()]
         key = np.concatenate([(np.cumsum(p[0], dtype=np.uint64) << np.uint64(32)) | p[1] for p in parts])
         flagged = np.concatenate([p[2] for p in parts])
-        origin = np.repeat(np.arange(len(parts), dtype=np.uint64), [len(p[0]) for p in parts])
+        origin = np.repeat(np.arange(len(parts), dtype=np.uint32), [len(p[0]) for p in parts])
+        del parts
         rows = [(DOCS, shard, block, None, None, None, None, None, about) for block, about in zip(blocks, docs) if about is not None]
         if len(key):
             order = np.argsort(key, kind="stable")
             key, flagged, origin = key[order], flagged[order], origin[order]
+            del order
             first, length = _runs(key)
             count = np.add.reduceat((flagged & np.uint64(1)).astype(np.int64), first)
             distinct = key[first]
-            index = np.repeat(np.arange(len(first), dtype=np.uint64), length)
+            del key
+            index = np.repeat(np.arange(len(first), dtype=np.uint32), length)
             context = distinct >> np.uint64(32)
             seen = count > 0
             rows.append((SHARD, shard, None, None, *_levels(count), _join_blobs(
                 pack(steps(context), distinct & np.uint64(0xFFFFFFFF), count.astype(np.uint64)),
-                pack(steps(index), origin, flagged >> np.uint64(1)), pack(np.array(blocks, np.int64).view(np.uint64)))))
+                pack(steps(index.astype(np.uint64)), origin, flagged >> np.uint64(1)), pack(np.array(blocks, np.int64).view(np.uint64)))))
             # continuation counts: each distinct bigram of the training texts counts once for its second word
             word, times = np.unique((distinct & np.uint64(0xFFFFFFFF))[seen], return_counts=True)
             part = word // np.uint64(width)
@@ -304,13 +309,15 @@ def _score_shard(frequent: dict[int, tuple[float, float]], lower, d2: tuple[floa
                 p = unigram(word)
                 p[seen] = (kept[seen] + rest[seen] * p[seen]) / total[seen]
                 logs = np.log10(p)
-                index = np.cumsum(instances[0], dtype=np.uint64).astype(np.int64)
-                origin, row = instances[1].astype(np.int64), instances[2].astype(np.int64)
-                order = np.lexsort((row, origin))
-                where = (origin[order] << 32) | row[order]
-                start_, _ = _runs(where)
-                sums = np.add.reduceat(logs[index[order]], start_)
-                where = where[start_]
+                del context, word, count, total, rest, kept, seen, p
+                logs = logs[np.cumsum(instances[0], dtype=np.uint64).astype(np.int64)]
+                where = (instances[1].astype(np.int64) << 32) | instances[2].astype(np.int64)
+                del bigrams, instances
+                order = np.argsort(where, kind="stable")
+                where, logs = where[order], logs[order]
+                begin, _ = _runs(where)
+                sums, where = np.add.reduceat(logs, begin), where[begin]
+                del order, logs
                 bounds = np.searchsorted(where >> 32, np.arange(len(blocks[0]) + 1))
                 out = []
                 for k, block in enumerate(blocks[0].view(np.int64).tolist()):
@@ -362,7 +369,7 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     token is unknown and the model is uniform over that one.
     """
     spark, tag = docs.sparkSession, f"kn-{uuid.uuid4().hex}"
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = F.coalesce(held_out, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (~held).alias("train"), held.alias("held"))
 
