@@ -35,8 +35,10 @@ END = np.uint64(xxhash.xxh3_64_intdigest("\n"))
 UNKNOWN = 0
 #: Shards for each shuffle partition: a shard's arrays take some tens of megabytes while it is scored.
 SHARDS = 2
-#: A context with more than this share of a shard's bigrams is spread by its next word.
-FREQUENT = 8
+#: A context that would fill more than one in so many parts of a shard is spread by its next word.
+FREQUENT = 2
+#: Words in a range of continuation counts, at least.
+RANGE_WORDS = 1 << 18
 
 
 # arrays that workers map into memory
@@ -380,7 +382,7 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     often = [r.word for r in vocabulary.where(F.col("n") * (FREQUENT * shards) > total.tokens).select("word").collect()]
     start = total.types + 1
     frequent = np.array(sorted([UNKNOWN, start, *_numbers(vocabulary, often)]), np.uint64)
-    width = -(-(total.types + 2) // shards)
+    width = max(RANGE_WORDS, -(-(total.types + 2) // shards))
 
     counted = stage(
         _bigrams(rows, names, tag, shards, frequent, start).groupBy("shard").applyInArrow(_count_shard(frequent, width), COUNTED),
@@ -394,7 +396,7 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
 
     continued = stage(
         counted.where(F.col("kind") == RANGE).select(F.col("a").alias("range"), "content").groupBy("range").applyInArrow(
-            _continuations(width), "range long, counts binary, total long, n1 long, n2 long, n3 long, n4 long, more long"),
+            _continuations(width, total.types + 2), "range long, counts binary, total long, n1 long, n2 long, n3 long, n4 long, more long"),
         "continuations")
     c = continued.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("total", "n1", "n2", "n3", "n4", "more"))).first()
     d1 = discounts(c.n1, c.n2, c.n3, c.n4)
@@ -431,10 +433,10 @@ def _numbers(vocabulary: DataFrame, chosen: list[int]) -> list[int]:
     return [int(b) + 1 for b in before]
 
 
-def _continuations(width: int):
+def _continuations(width: int, size: int):
     def run(table: pa.Table) -> pa.Table:
         first = table.column("range")[0].as_py() * width
-        out = np.zeros(width, np.int64)
+        out = np.zeros(min(width, size - first), np.int64)
         for content in table.column("content").to_pylist():
             word, times = unpack(content)
             out[np.cumsum(word, dtype=np.uint64).astype(np.int64) - first] += times.astype(np.int64)
