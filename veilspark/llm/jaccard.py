@@ -141,6 +141,8 @@ def _shared(table: pa.Table) -> pa.Table:
         if a < b or docs[i] is not None:
             out.append((block, docs[i], pack(steps(value[a:b]), row[a:b], times[a:b])))
     columns = list(zip(*out)) or [[], [], []]
+    del value, row, times, origin, order, ordered
+    words.give_back()
     return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())],
                     names=["block", "docs", "items"])
 
@@ -161,6 +163,8 @@ def _collect(percent: int):
         value, row, times = value[order].astype(np.int64), row[order], times[order]
         offsets = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(doc))))).astype(np.int32)
         none = pa.array(~enough)
+        del order, kept, parts
+        words.give_back()
 
         def lists(x: np.ndarray) -> pa.Array:
             return pa.ListArray.from_arrays(pa.array(offsets), pa.array(x), mask=none)

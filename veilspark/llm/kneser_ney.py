@@ -150,7 +150,7 @@ def _bigrams(docs: DataFrame, vocabulary: list[str], tag: str, shards: int, freq
 
         known, counts = mapped(tag, vocabulary, _vocabulary_arrays)
         part, number = TaskContext.get().partitionId(), 0
-        for piece in words.slices(batches, "text", 8 << 20):
+        for piece in words.slices(batches, "text"):
             offsets, codes, names = words.split(piece.column("text"))
             hashed = np.append(words.hashes(names), END).view(np.int64)
             at = np.minimum(np.searchsorted(known, hashed), max(0, len(known) - 1))
@@ -256,7 +256,10 @@ def _count_shard(frequent: np.ndarray, width: int):
                 a, n = begin[k], size[k]
                 c = count[a:a + n]
                 rows.append((CONTEXT, shard, int(context[a]), int(c.sum()), *_levels(c)[:2], int((c > 2).sum()), None, None))
-        return _table(rows)
+        out = _table(rows)
+        del rows
+        words.give_back()
+        return out
 
     return run
 
@@ -333,6 +336,8 @@ def _score_shard(frequent: dict[int, tuple[float, float]], lower, d2: tuple[floa
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))],
                         names=["block", "docs", "sums"])
+                del out
+                words.give_back()
 
     return run
 

@@ -51,7 +51,7 @@ class Encoder:
     the whole tokenizer.
     """
 
-    def __init__(self, path: str, remember: int = 1 << 19):
+    def __init__(self, path: str, remember: int = 1 << 18):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

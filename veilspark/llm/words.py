@@ -6,6 +6,7 @@ lower case.  Everything here runs inside a task on one Arrow batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,7 +15,16 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text handled at once inside a task; a longer text is handled alone.
-SLICE = 12 << 20
+SLICE = 4 << 20
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: workers outlive their tasks, and many share an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -27,6 +37,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE) -
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
 
 
 def whole(texts: pa.Array, lower: bool = True) -> pa.Array:
