@@ -209,7 +209,8 @@ def leaks(
         entry = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("words", pa.int64())])
         return pa.array(out, pa.list_(entry))
 
-    return find(F.col("text"))
+    # evaluated once, also where a later filter repeats it
+    return find.asNondeterministic()(F.col("text"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
