@@ -150,7 +150,7 @@ def location_record(ref: Column) -> Column:
     """The record number of a location, -1 where it has none."""
     tail = F.when(F.contains(ref, F.lit("#")), F.regexp_replace(ref, "^[^#]*#", "")).otherwise("")
     number = F.substring_index(tail, ".", 1)
-    return F.when(number.rlike("^[0-9]+$"), number.try_cast("int")).otherwise(F.lit(-1))
+    return F.when(number.rlike("^[0-9]+$"), F.coalesce(number.try_cast("bigint"), F.lit(-1))).otherwise(F.lit(-1))
 
 
 def words(value: Column) -> Column:

@@ -10,8 +10,8 @@ from ..schema import KINDS
 from .collapse import ranked
 
 CAVEAT = (
-    "A clean result does not prove that nothing leaked. Findings are leads to follow up, "
-    "not a complete inventory."
+    "Rules see what they were written for. An empty report says that no rule fired on the records "
+    "read, no more than that; every finding needs someone to look at it."
 )
 
 

@@ -110,7 +110,7 @@ PACK = {
               r"""(?i)(?:\b_authToken\s*=\s*|\b_auth\s*=\s*|\b(?:client-key-data|client-certificate-data)\s*:\s*|\bssh-(?:rsa|ed25519)\s+)([A-Za-z0-9+/=_.-]{16,})""",
               group=1, words=["client", "ssh"], heads=["_au"]),
         _rule("high_entropy_catch_all", "low", 45, "High-entropy string",
-              r"(?<![A-Za-z0-9+/=_.-])(?:[a-f0-9]{32,128}|[A-Za-z0-9+/_-]{40,200}={0,2})(?![A-Za-z0-9+/=_-])",
+              r"(?<![A-Za-z0-9+/=_.-])(?:[a-f0-9]{32,}|[A-Za-z0-9+/_-]{40,}={0,2})(?![A-Za-z0-9+/=_-])",
               min_entropy=3.2, run=32, ignore=[_KNOWN_SHAPES, r"/.*/.*/|^[A-Za-z]+(?:[-_/][A-Za-z]+)+$"],
               yields=True),
     ],
