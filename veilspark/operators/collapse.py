@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import salted_join
@@ -112,8 +112,9 @@ def keep_last(findings: DataFrame) -> DataFrame:
 
     Two findings share an id when their values differ only in outer whitespace.
     """
-    last = Window.partitionBy("finding_id").orderBy(
-        severity_rank(F.col("severity")).desc(), F.col("confidence").asc(), F.col("employee").desc(),
-        F.col("location").desc(), F.col("rule_id").desc(), F.col("seq").desc(),
+    rank = F.struct(
+        severity_rank(F.col("severity")), -F.col("confidence"), "employee", "location", "rule_id", "seq"
     )
-    return findings.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    return findings.groupBy("finding_id").agg(
+        F.max_by(F.struct(*findings.columns), rank).alias("last")
+    ).select("last.*")

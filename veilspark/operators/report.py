@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import finding_id
 from ..rules.model import SEVERITIES, RuleSet
 from ..schema import KINDS
 from .collapse import ranked
@@ -111,7 +112,7 @@ def survey_order(table: DataFrame) -> DataFrame:
 def report_findings(findings: DataFrame, *, reveal: bool = False) -> DataFrame:
     """Findings as a report lists them; the raw value only on request."""
     columns = [
-        "rule_id", "category", "subtype", "severity", "confidence", "employee", "session_id", "source",
+        "finding_id", "rule_id", "category", "subtype", "severity", "confidence", "employee", "session_id", "source",
         F.col("kind").alias("location_kind"), "location", "occurrences",
         *[c for c in ("also_at_count", "also_at") if c in findings.columns],
         "value_redacted", "snippet",
@@ -124,18 +125,25 @@ def report_findings(findings: DataFrame, *, reveal: bool = False) -> DataFrame:
 def write_report(
     path: str, *, findings: DataFrame, everyone: DataFrame, suppressed: DataFrame, totals: DataFrame,
     ruleset: RuleSet, root: str, started_at: str, finished_at: str,
-    skipped: DataFrame | None = None, problems: DataFrame | None = None, reveal: bool = False,
+    skipped: DataFrame | None = None, problems: DataFrame | None = None, seen: DataFrame | None = None,
+    reveal: bool = False,
 ) -> None:
     """Write the report as a folder of JSON datasets under *path*.
 
     ``summary`` is one row; the lists that grow with the data are datasets of
-    their own, written by the executors.
+    their own, written by the executors.  *seen* are the sightings of the scan:
+    every later place of every finding, whatever ``also_at`` has room for.
     """
     parts = {
         "findings": report_findings(findings, reveal=reveal),
         "employees": people_table(everyone, findings),
         "suppressed": suppressed.orderBy("suppressed_by"),
     }
+    if seen is not None:
+        parts["sightings"] = seen.select(
+            finding_id(F.col("employee"), F.col("rule_id"), F.col("value_key")).alias("finding_id"),
+            "employee", "rule_id", "location", "at",
+        )
     if skipped is not None:
         parts["skipped_files"] = skipped
     if problems is not None:

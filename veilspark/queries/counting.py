@@ -210,7 +210,7 @@ SQL = {
                (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS suppressed_as_noise,
                (SELECT count(*) FROM ({_PEOPLE})) AS employees_scanned FROM ({_FINDINGS})""",
     "report_findings": f"""
-        SELECT rule_id, category, 'token' AS subtype, severity, confidence, employee, 's' AS session_id, 'table' AS source,
+        SELECT finding_id, rule_id, category, 'token' AS subtype, severity, confidence, employee, 's' AS session_id, 'table' AS source,
                'user_message' AS location_kind, location, occurrences, {redact_sql('value_key')} AS value_redacted,
                'shown' AS snippet FROM ({_FINDINGS})""",
     "survey": f"""
