@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import redact
+from ..functions.text import let, redact
 from ..plans.staging import stage
 from .mixing import uniform
 
@@ -52,16 +52,15 @@ class Forest:
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id, word_no, run_no, value, word, before2, before1, after``: every run of token characters of
     at least 20 characters in the whole text.  A null or empty text has none; repeated rows repeat theirs."""
-    words = F.split(text, r"[\x20\x09-\x0D]+")
-    numbered = F.filter(
-        F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda s: F.length(s["w"]) >= LEAST)
-    long = docs.where(F.col(text).rlike(f"{RUN}{{{LEAST}}}")).select("doc_id", words.alias("words"), numbered.alias("long"))
-    one = long.select("doc_id", "words", F.explode("long").alias("s"))
-    at = F.col("s.i")
-    near = one.select(
-        "doc_id", at.alias("word_no"), F.col("s.w").alias("word"), F.get("words", at - 2).alias("before2"),
-        F.get("words", at - 1).alias("before1"), F.get("words", at + 1).alias("after"),
-    )
+    def long(words: Column) -> Column:
+        numbered = F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w")))
+        return F.transform(F.filter(numbered, lambda s: F.length(s["w"]) >= LEAST), lambda s: F.struct(
+            s["i"].alias("word_no"), s["w"].alias("word"), F.get(words, s["i"] - 2).alias("before2"),
+            F.get(words, s["i"] - 1).alias("before1"), F.get(words, s["i"] + 1).alias("after")))
+
+    # neighbours are looked up inside the row: a row of the explosion carries no word list
+    found = let(F.split(text, r"[\x20\x09-\x0D]+"), long)
+    near = docs.where(F.col(text).rlike(f"{RUN}{{{LEAST}}}")).select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.*")
     runs = F.regexp_extract_all("word", F.lit(f"({RUN}{{{LEAST},}}={{0,2}})"), F.lit(1))
     return near.select("*", F.posexplode(runs).alias("run_no", "value"))
 
@@ -118,13 +117,12 @@ def describe(found: DataFrame, language: Language) -> DataFrame:
     return found.select("*", *(columns[c].cast("double").alias(f"f_{c}") for c in FEATURES))
 
 
-def learn_language(docs: DataFrame, *, text: str = "text", sample: int = 2000, words: int = 400) -> Language:
-    """Letter pairs and the *words* most frequent words (four letters at least) of about *sample* documents.
+def learn_language(docs: DataFrame, *, text: str = "text", words: int = 400) -> Language:
+    """Letter pairs and the *words* most frequent words (four letters at least) of all documents.
 
-    The documents are drawn by a hash of their id.  The driver receives at most 784 counts and *words* words.
+    The driver receives at most 784 counts and *words* words.
     """
-    few = _drawn(docs, sample)
-    word = few.select(F.explode(F.split(F.lower(text), r"[^a-z]+")).alias("w")).where(F.length("w") > 1)
+    word = docs.select(F.explode(F.split(F.lower(text), r"[^a-z]+")).alias("w")).where(F.length("w") > 1)
     counts = word.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     frequent = counts.where(F.length("w").between(4, 12)).orderBy(F.desc("n"), "w").limit(words).select("w").collect()
     pair = counts.select("n", F.explode(F.transform(
