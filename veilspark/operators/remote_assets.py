@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regex import java_pattern
-from ..functions.spans import match_positions
 from ..functions.text import let
 
 # Loading contexts in order of precedence.
@@ -21,45 +20,39 @@ CONTEXTS = (
      + _URL),
 )
 
-_REFERENCE = "struct<line:int,url:string,rank:int>"
+# Marks around a URL: code points that stand for no character.
+OPEN, CLOSE = "\ufdd0", "\ufdd1"
 
 
 def _references(markup: Column, rank: int, pattern: str) -> Column:
-    regex = java_pattern(pattern)
+    """One pass marks each URL at the line its context starts in; the lines are then looked through."""
+    marked = F.regexp_replace(markup, F.lit(java_pattern(pattern)), F.lit(f"{OPEN}$1{CLOSE}$0"))
+    lines = F.transform(F.split(marked, "\n", -1), lambda text, i: F.struct(i.alias("i"), text.alias("text")))
+    return F.flatten(F.transform(
+        F.filter(lines, lambda at: F.contains(at["text"], F.lit(OPEN))),
+        lambda at: F.transform(
+            F.regexp_extract_all(at["text"], F.lit(f"{OPEN}([^{CLOSE}]+){CLOSE}"), F.lit(1)),
+            lambda url: F.struct((at["i"] + 1).alias("line"), url.alias("url"), F.lit(rank).alias("rank")),
+        ),
+    ))
 
-    def found(matches: Column) -> Column:
-        urls = F.regexp_extract_all(markup, F.lit(regex), F.lit(1))
-        return let(
-            urls,
-            lambda u: F.transform(
-                match_positions(matches, F.split(markup, regex, -1)),
-                lambda span, i: let(
-                    F.substring(markup, F.lit(1), span["s"]),
-                    lambda before: F.struct(
-                        (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line"),
-                        u[i].alias("url"), F.lit(rank).alias("rank"),
-                    ),
-                ),
-            ),
-        )
 
-    return F.when(
-        markup.rlike(regex), let(F.regexp_extract_all(markup, F.lit(regex), F.lit(0)), found)
-    ).otherwise(F.array().cast(f"array<{_REFERENCE}>"))
+def _first_of_each(references: Column) -> Column:
+    """The lowest rank of each line and URL."""
+    return let(F.array_sort(references), lambda ordered: F.filter(
+        ordered, lambda r, i: (i == 0) | (F.get(ordered, i - 1)["line"] != r["line"]) | (F.get(ordered, i - 1)["url"] != r["url"])))
 
 
 def remote_assets(pages: DataFrame, *, key: str = "page_id", markup: str = "html") -> DataFrame:
-    """``(key, line, url, kind)``, one row per page, line and URL.
+    """``(key, line, url, kind)``, one row per row of *pages*, line and URL.
 
-    The contexts overlap; the first that fits names the kind.
+    The contexts overlap; the first that fits names the kind.  All work stays in the page's row.
     """
-    text = F.col(markup)
+    text = F.translate(F.col(markup), OPEN + CLOSE, "\ufffd\ufffd")
     listed = F.concat(*[_references(text, i, p) for i, (_, p) in enumerate(CONTEXTS)])
     kinds = F.array(*[F.lit(k) for k, _ in CONTEXTS])
     return (
-        pages.where(F.contains(text, F.lit("//")))
-        .select(key, F.explode(listed).alias("r"))
-        .groupBy(key, F.col("r.line").alias("line"), F.col("r.url").alias("url"))
-        .agg(F.min("r.rank").alias("rank"))
-        .select(key, "line", "url", kinds[F.col("rank")].alias("kind"))
+        pages.where(F.contains(F.col(markup), F.lit("//")))
+        .select(key, F.explode(_first_of_each(listed)).alias("r"))
+        .select(key, F.col("r.line").alias("line"), F.col("r.url").alias("url"), kinds[F.col("r.rank")].alias("kind"))
     )

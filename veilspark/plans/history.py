@@ -1,8 +1,8 @@
 """Scan history, triage and purge over Parquet tables.
 
 ``scans(scan_id, started_at, finished_at, root, files, records, characters, rules,
-suppressed)``, ``findings`` partitioned by ``scan_id`` and an append-only
-``triage_log``.  Raw values never reach a table.
+suppressed)``, ``findings`` partitioned by ``scan_id``, an append-only ``triage_log``
+and ``scan_ids``, every number ever given out.  Raw values never reach a table.
 """
 
 from __future__ import annotations
@@ -168,9 +168,16 @@ class History:
         self, findings: DataFrame, *, root: str, started_at: str, finished_at: str, files: int = 0,
         records: int = 0, characters: int = 0, rules: int = 0, suppressed: int = 0,
     ) -> int:
-        """Store one scan.  Its row is written last and makes the findings visible."""
-        scan_id = (self.latest_scan_id() or 0) + 1
-        stored_form(findings).write.mode("overwrite").parquet(f"{self.root}/findings/scan_id={scan_id}")
+        """Store one scan.  Its row is written last and makes the findings visible.
+
+        A number is never given twice, not after a purge either; of two writers that take
+        the same one at the same time, the second fails.
+        """
+        given = self.scans().select("scan_id").union(self._read("scan_ids", "scan_id bigint"))
+        scan_id = (latest_scan(given).first()["scan_id"] or 0) + 1
+        self.spark.createDataFrame([(scan_id,)], "scan_id bigint").coalesce(1).write.mode("append").parquet(
+            f"{self.root}/scan_ids")
+        stored_form(findings).write.mode("error").parquet(f"{self.root}/findings/scan_id={scan_id}")
         row = (scan_id, started_at, finished_at, root, files, records, characters, rules, suppressed)
         self.spark.createDataFrame([row], SCANS).coalesce(1).write.mode("append").parquet(f"{self.root}/scans")
         return scan_id
@@ -190,16 +197,20 @@ class History:
 
     # -- purging -------------------------------------------------------------
 
-    def _replace(self, name: str, rows: DataFrame, partition: str | None = None) -> None:
+    def _replace(self, name: str, rows: DataFrame) -> None:
         """Write *rows* beside the table, then put them in its place."""
-        fs, path = self._fs(), self.spark._jvm.org.apache.hadoop.fs.Path
-        fresh, old = f"{self.root}/{name}", f"{self.root}/_old-{uuid.uuid4().hex}"
         new = f"{self.root}/_new-{uuid.uuid4().hex}"
-        writer = rows.write.mode("overwrite")
-        (writer.partitionBy(partition) if partition else writer).parquet(new)
+        rows.write.parquet(new)
+        self._swap(name, new)
+
+    def _swap(self, name: str, new: str) -> None:
+        """Put the folder *new*, or nothing where it does not exist, in the place of a table or partition."""
+        fs, path = self._fs(), self.spark._jvm.org.apache.hadoop.fs.Path
+        now, old = f"{self.root}/{name}", f"{self.root}/_old-{uuid.uuid4().hex}"
         if self._exists(name):
-            fs.rename(path(fresh), path(old))
-        fs.rename(path(new), path(fresh))
+            fs.rename(path(now), path(old))
+        if fs.exists(path(new)):
+            fs.rename(path(new), path(now))
         fs.delete(path(old), True)
 
     def _drop(self, name: str) -> None:
@@ -224,13 +235,16 @@ class History:
             return Purged(gone_scans, n, self._purge_orphans())
         if employee is not None:
             theirs = self.all_findings().where(F.col("employee") == employee)
-            # Only the partitions that mention the person are rewritten.
+            # Only the partitions that mention the person are rewritten, all by one job without a shuffle.
             touched = theirs.groupBy("scan_id").count().collect()
-            for row in touched:
-                keep = self.all_findings().where(
-                    (F.col("scan_id") == row["scan_id"]) & (F.col("employee") != employee)
-                ).drop("scan_id")
-                self._replace(f"findings/scan_id={row['scan_id']}", keep)
+            if touched:
+                new = f"{self.root}/_new-{uuid.uuid4().hex}"
+                self.all_findings().where(
+                    F.col("scan_id").isin([r["scan_id"] for r in touched]) & ~F.col("employee").eqNullSafe(employee)
+                ).write.partitionBy("scan_id").parquet(new)
+                for row in touched:
+                    self._swap(f"findings/scan_id={row['scan_id']}", f"{new}/scan_id={row['scan_id']}")
+                self._drop(new.rsplit("/", 1)[1])
             return Purged(0, sum(r["count"] for r in touched), self._purge_orphans())
         raise ValueError("purge needs everything=True, a scan_id or an employee")
 
