@@ -7,10 +7,11 @@ value)``; ``plant_id`` gives their order.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.joins import salted_join
 from ..functions.text import collapse_whitespace, location_file, location_record, strip
 from .collapse import severity_rank
 
@@ -19,21 +20,19 @@ _PAIRS = T.ArrayType(T.StructType().add("plant_id", T.LongType()).add("finding_k
 
 
 @F.pandas_udf(_PAIRS)
-def _assign(plants: pd.Series, found: pd.Series) -> pd.Series:
-    """Each plant of a record takes the first unused finding that fits it."""
-
-    def one(wanted, candidates) -> list[dict]:
-        left, pairs = list(candidates), []
-        for plant in wanted:
-            value = plant["value"].lower()
-            for i, f in enumerate(left):
-                if f["subtype"] == plant["subtype"] or value in f["got"] or f["got"] in value:
-                    pairs.append({"plant_id": plant["plant_id"], "finding_key": f["finding_key"]})
-                    del left[i]
-                    break
+def _assign(records: pd.Series) -> pd.Series:
+    """Each plant of a record, in order, takes the first of its candidates that is still free."""
+
+    def one(plants) -> list[dict]:
+        taken, pairs = set(), []
+        for plant in plants:
+            free = next((key for key in plant["fitting"] if key not in taken), None)
+            if free is not None:
+                taken.add(free)
+                pairs.append({"plant_id": plant["plant_id"], "finding_key": free})
         return pairs
 
-    return pd.Series([one(p, f) for p, f in zip(plants, found)])
+    return records.map(one)
 
 
 def finding_key() -> Column:
@@ -44,8 +43,9 @@ def finding_key() -> Column:
 def assignments(plants: DataFrame, findings: DataFrame) -> DataFrame:
     """``(plant_id, finding_key)``: one finding for one plant, greedily in order.
 
-    A match never leaves its record, so each record is worked out on its own and
-    what is gathered is bounded by it.  Findings of records without plants stay out.
+    A match never leaves its record.  Findings are compared where they lie with the labels of
+    their record.  Of those that fit a plant only the first few are kept, one more than other
+    plants could take; so what is gathered grows with a record's labels, not with its findings.
     """
     placed = findings.select(
         location_file(F.col("location")).alias("file"),
@@ -62,15 +62,21 @@ def assignments(plants: DataFrame, findings: DataFrame) -> DataFrame:
         F.col("record_index").cast("bigint").alias("record_index"), "subtype", "value",
     )
     place = ["file", "record_index"]
-    plants_of = wanted.groupBy(*place).agg(
-        F.array_sort(F.collect_list(F.struct("plant_id", "subtype", "value"))).alias("plants")
+    plants_of = wanted.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct(
+        "plant_id", "subtype", F.lower("value").alias("value")))).alias("plants"))
+    fits = F.filter("plants", lambda p: F.coalesce(
+        p["subtype"].eqNullSafe(F.col("subtype")) | F.contains(F.col("got"), p["value"]) | F.contains(p["value"], F.col("got")),
+        F.lit(False)))
+    pairs = salted_join(placed, plants_of, place, spread_by=["finding_key"]).select(
+        *place, F.size("plants").alias("room"), "order", "finding_key",
+        F.explode(F.transform(fits, lambda p: p["plant_id"])).alias("plant_id"),
     )
-    found_in = placed.join(wanted.select(*place).distinct(), place, "left_semi").groupBy(*place).agg(
-        F.array_sort(F.collect_list(F.struct("order", "finding_key", "subtype", "got"))).alias("found")
-    )
-    return plants_of.join(found_in, place).select(
-        F.explode(_assign("plants", "found")).alias("p")
-    ).select("p.plant_id", "p.finding_key")
+    nth = F.row_number().over(Window.partitionBy(*place, "plant_id", "room").orderBy("order", "finding_key"))
+    candidates = pairs.withColumn("nth", nth).where(F.col("nth") <= F.col("room")).groupBy(*place, "plant_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("nth", "finding_key"))), lambda c: c["finding_key"]).alias("fitting"))
+    return candidates.groupBy(*place).agg(
+        F.array_sort(F.collect_list(F.struct("plant_id", "fitting"))).alias("plants")
+    ).select(F.explode(_assign("plants")).alias("p")).select("p.plant_id", "p.finding_key")
 
 
 def scored(plants: DataFrame, matched: DataFrame) -> DataFrame:

@@ -104,6 +104,42 @@ def _stored(spark: SparkSession, d: str) -> DataFrame:
     return store.findings().select("scan_id", "finding_id", "severity", "occurrences", "state", "note")
 
 
+def _store(spark: SparkSession, d: str) -> history.History:
+    """A store that holds every scan, finding and triage entry."""
+    def shaped(rows: DataFrame, schema: str) -> DataFrame:
+        fields = [c.strip().split(" ") for c in schema.split(", ")]
+        return rows.select(*[
+            (F.col(name) if name in rows.columns else F.lit(None)).cast(kind).alias(name) for name, kind in fields])
+
+    root = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    shaped(_scans(spark, d), history.SCANS).write.parquet(f"{root}/scans")
+    shaped(_findings(spark, d), history.FINDINGS).repartition("scan_id").write.partitionBy("scan_id").parquet(f"{root}/findings")
+    shaped(_log(spark, d), history.TRIAGE_LOG).write.parquet(f"{root}/triage_log")
+    return history.History(spark, root)
+
+
+def _left(store: history.History) -> DataFrame:
+    """What a store holds: scans, findings and triaged ids."""
+    none, empty = F.lit(0).cast("bigint").alias("scan_id"), F.lit("").alias("finding_id")
+    return store.scans().select("scan_id", empty, F.lit("scan").alias("what")).unionByName(
+        store.all_findings().select("scan_id", "finding_id", F.lit("finding").alias("what"))).unionByName(
+        store.triage().select(none, "finding_id", F.lit("triage").alias("what")))
+
+
+def _store_without_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A store after its latest month is purged."""
+    store = _store(spark, d)
+    store.purge(scan_id=store.all_findings().agg(F.max("scan_id").alias("n")).first()["n"])
+    return _left(store)
+
+
+def _store_without_person(spark: SparkSession, d: str) -> DataFrame:
+    """A store after one person is purged."""
+    store = _store(spark, d)
+    store.purge(employee="e7")
+    return _left(store)
+
+
 QUERIES = {
     "scan_counts": lambda s, d: history.scans_with_counts(_scans(s, d), _findings(s, d)),
     "severity_trend": lambda s, d: history.trend(_scans(s, d), _findings(s, d)),
@@ -114,6 +150,8 @@ QUERIES = {
     "orphan_triage": lambda s, d: history.orphans(history.latest_triage(_log(s, d)), _findings(s, d)).select("finding_id", "state"),
     "purge_scan": _purge_scan,
     "purge_person": _purge_person,
+    "store_without_scan": _store_without_scan,
+    "store_without_person": _store_without_person,
     "keep_last": _keep_last,
     "stored_scan": _stored,
 }
@@ -141,7 +179,19 @@ _TREND = f"""
            count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low
     FROM ({_SCANS}) LEFT JOIN ({_F}) USING (scan_id) GROUP BY scan_id"""
 
+def _left_sql(scans: str, kept: str) -> str:
+    return f"""
+        WITH kept AS (SELECT * FROM ({_F}) WHERE {kept})
+        SELECT scan_id, '' AS finding_id, 'scan' AS what FROM ({_SCANS}) WHERE {scans}
+        UNION ALL SELECT scan_id, finding_id, 'finding' FROM kept
+        UNION ALL SELECT 0, finding_id, 'triage' FROM ({_T}) WHERE finding_id IN (SELECT finding_id FROM kept)"""
+
+
+_LAST = f"scan_id <> (SELECT max(scan_id) FROM ({_F}))"
+
 SQL = {
+    "store_without_scan": _left_sql(_LAST, _LAST),
+    "store_without_person": _left_sql("true", "employee <> 'e7'"),
     "scan_counts": f"""
         SELECT scan_id, 'at ' || CAST(scan_id AS varchar) AS finished_at, (SELECT count(*) FROM ({_F}) f WHERE f.scan_id = s.scan_id) AS findings
         FROM ({_SCANS}) s""",

@@ -84,17 +84,16 @@ def _category_gap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
-    """The payment-card scan, run as a stream over the documents file."""
+    """The payment-card scan, run as a stream over the documents as they arrive in several files."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{d}/documents.parquet").schema
-    documents = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
-        .option("maxFilesPerTrigger", 100).parquet(d)
-    )
+    documents = table(spark, d, "documents")
+    files = max(6, spark.sparkContext.defaultParallelism)
+    documents.repartition(files).write.parquet(f"{folder}/drop")
+    documents = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", files // 3).parquet(f"{folder}/drop")
     scan_stream(
-        document_records(documents), folder, ruleset=load_rules().select(CARD), shapes=False
+        document_records(documents), f"{folder}/state", ruleset=load_rules().select(CARD), shapes=False
     ).awaitTermination()
-    return current_findings(spark, folder).select(
+    return current_findings(spark, f"{folder}/state").select(
         "finding_id", "employee", "rule_id", "severity", "confidence", "location", "session_id",
         "value_redacted", "occurrences",
     )
