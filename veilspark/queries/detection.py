@@ -42,6 +42,35 @@ def _suppressions(spark: SparkSession, d: str) -> DataFrame:
     return suppressions(hits(chunks, load_rules().select(CARD, EMAIL), shapes=False))
 
 
+_TAG = "substr(md5(c_name), 1, 20)"
+#: For each suppressor a text it removes a match from, as SQL over ``customer``.
+NOISE_TEXTS = {
+    "noise.placeholder_value": f"'API_KEY=changeme' || {_TAG}",
+    "noise.angle_bracket_template": f"'DB_PASSWORD=${{' || {_TAG} || '}}'",
+    "noise.provider_documentation_example": f"'API_KEY=foobar' || {_TAG}",
+    "noise.test_key_prefix": f"'use sk_test_' || {_TAG}",
+    "noise.known_test_card": f"'card 4111 1111 1111 1111 of ' || {_TAG}",
+    "noise.reserved_domain": f"'mail u' || {_TAG} || '@npmjs.com'",
+    "noise.reserved_ip_range": f"'DB_PASSWORD=pw-192.0.2.7-' || {_TAG}",
+    "noise.test_fixture_context": f"'test fixture API_KEY=' || {_TAG}",
+    "noise.image_data_uri": f"'ICON_KEY=data:image/png;base64,' || {_TAG}",
+    "noise.git_object_hash": f"'commit 9f3a61c7 API_KEY=' || {_TAG}",
+}
+
+
+def _each_suppressor(spark: SparkSession, d: str) -> DataFrame:
+    """People from whom a suppressor removed something, by the suppressor a text is for."""
+    texts = F.array(*[
+        F.struct(F.lit(name).alias("planted"), F.expr(text).alias("text"), F.lit(i).alias("nth"))
+        for i, (name, text) in enumerate(NOISE_TEXTS.items())])
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("who"), F.explode(texts).alias("t"))
+    found = hits(records(
+        rows, employee=F.col("who"), session_id=F.col("t.planted"), kind=F.lit("tool_result"), text=F.col("t.text"),
+        file=F.concat(F.lit("c/"), F.col("who")), record_index=F.col("t.nth")))
+    return found.select(F.col("session_id").alias("planted"), "suppressed_by", "employee").distinct().groupBy(
+        "planted", "suppressed_by").agg(F.count("*").alias("people"))
+
+
 def _full_scan(source, name: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         return findings(source(table(spark, d, name))).drop("value", "seq")
@@ -207,6 +236,7 @@ def _bulk(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "detect_payment_card": _payment_card,
     "detect_suppressions": _suppressions,
+    "each_suppressor": _each_suppressor,
     "scan_documents": _full_scan(document_records, "documents"),
     "scan_conversations": _full_scan(conversation_records, "conversations"),
     "scan_pages": _full_scan(page_records, "pages"),
@@ -254,6 +284,8 @@ SQL = {
         SELECT why AS suppressed_by, count(*) AS n
         FROM (SELECT why FROM ({_CARD_HITS}) UNION ALL SELECT why FROM ({_EMAIL_HITS}))
         WHERE why IS NOT NULL GROUP BY why""",
+    "each_suppressor": " UNION ALL ".join(
+        f"SELECT '{name}' AS planted, '{name}' AS suppressed_by, count(*) AS people FROM customer" for name in NOISE_TEXTS),
     **{f"rules_{pack}": _rules_sql(pack) for pack in TEMPLATES},
     "gate_kinds": f"""
         SELECT location, 'user_message' AS kind, s AS start, value
