@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import paths
 from ..sources import account_export, embedded, plain_text, session_log
 from ..plans.staging import shared_folder
-from ..sources.files import classify, decode, read_root
+from ..sources.files import classify, decode, open_archives, read_root
 from ..sources.tables import conversation_records, document_records
 from ..sources.transcripts import with_format
 
@@ -229,8 +233,37 @@ def _folder_scan(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@F.pandas_udf(T.BinaryType())
+def _zipped(folders: pd.Series, names: pd.Series, texts: pd.Series) -> pd.Series:
+    """An archive with a document, clutter, an unsafe path, an empty file, another type and a damaged member."""
+    def one(folder: str, name: str, text: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as archive:
+            for member, data in ((f"{folder}/{name}.txt", text), (f"{folder}\\notes\\{name}.md", "note"), ("__MACOSX/x.txt", "x"),
+                                 ("../up.txt", "x"), (f"{folder}/none.txt", ""), (f"{folder}/x.png", "x")):
+                archive.writestr(member, data)
+            archive.writestr(f"{folder}/damaged.txt", "bytes as they were")
+        return out.getvalue().replace(b"bytes as they were", b"bytes as they are!")
+
+    return pd.Series([one(f, n, t) for f, n, t in zip(folders, names, texts)])
+
+
+def _zip_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in an archive of its own, some cut off in the middle: what is read, and what is left out."""
+    name = F.col("doc_id").cast("string")
+    content = _zipped(F.coalesce("source", F.lit("nobody")), name, F.coalesce("text", F.lit("")))
+    cut = F.when(F.col("doc_id") % 9 == 0, F.substring(content, 1, 40)).otherwise(content)
+    opened = open_archives("zips", table(spark, d, "documents").select(F.concat(name, F.lit(".zip")).alias("archive"), cut.alias("content")))
+    files = opened.files.groupBy(F.col("employee").alias("who")).agg(
+        F.count("*").alias("n"), F.sum(F.length("content")).cast("bigint").alias("bytes"))
+    reasons = opened.skipped.groupBy(F.substring_index("reason", " (", 1).alias("who")).agg(
+        F.count("*").alias("n"), F.lit(0).cast("bigint").alias("bytes"))
+    return files.unionByName(reasons)
+
+
 QUERIES = {
     "folder_scan": _folder_scan,
+    "zip_scan": _zip_scan,
     "classify_paths": _classify,
     "kind_and_session": _kind_and_session,
     "file_formats": _formats,
@@ -269,6 +302,16 @@ _OWN, _STEM_SESSION = "'s' || CAST(conv_id AS varchar)", "CAST(conv_id AS varcha
 _T = "'T' || CAST(turn AS varchar)"
 
 SQL = {
+    "zip_scan": """
+        WITH whole AS (SELECT coalesce(source, 'nobody') AS source, strlen(coalesce(text, '')) AS bytes FROM documents WHERE doc_id % 9 <> 0),
+        each AS (SELECT count(*) AS n FROM whole)
+        SELECT source AS who, CAST(count(*) + count(*) FILTER (bytes > 0) AS bigint) AS n, CAST(sum(bytes + 4) AS bigint) AS bytes
+        FROM whole GROUP BY source
+        UNION ALL SELECT 'not a readable ZIP', count(*), 0 FROM documents WHERE doc_id % 9 = 0
+        UNION ALL SELECT 'unreadable', n, 0 FROM each
+        UNION ALL SELECT 'unsafe path in archive', n, 0 FROM each
+        UNION ALL SELECT 'unsupported file type', n, 0 FROM each
+        UNION ALL SELECT 'empty file', n + (SELECT count(*) FROM whole WHERE bytes = 0), 0 FROM each""",
     "folder_scan": """
         SELECT 'source=' || source AS employee, 'lang=' || lang AS folder, CAST(sum(length(text) + 1) AS bigint) AS characters,
                CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS bigint) AS lines
