@@ -27,6 +27,7 @@ def main() -> None:
     spark = local_session(cores, partitions=cores)
     spark.range(1_000_000).selectExpr("sum(id)").collect()
     times, run = {}, queries()
+    run[HEADLINE[0]](spark, folder).write.format("noop").mode("overwrite").save()  # the JVM's start-up belongs to no query
     for name in HEADLINE:
         start = time.perf_counter()
         run[name](spark, folder).write.format("noop").mode("overwrite").save()

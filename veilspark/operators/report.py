@@ -138,6 +138,7 @@ def write_report(
         "findings": report_findings(findings, reveal=reveal),
         "employees": people_table(everyone, findings),
         "suppressed": suppressed.orderBy("suppressed_by"),
+        "counts": counts_by(findings),
     }
     if seen is not None:
         parts["sightings"] = seen.select(

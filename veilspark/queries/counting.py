@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import report
 from ..operators.collapse import collapse, sightings, top, with_also_at
-from ..rules.model import rule_violations
+from ..plans.staging import shared_folder
+from ..rules.model import load_rules, rule_violations
 from ..sources.tables import conversation_records, document_records, page_records
 from .common import chunk_sql, redact_sql, table
 
@@ -136,7 +139,30 @@ def _violations(spark: SparkSession, d: str) -> DataFrame:
     return rule_violations(rules).groupBy("problem").agg(F.count("*").alias("n"))
 
 
+def _report_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """A report written with every place, and read back from its folder."""
+    found = order_hits(spark, d)
+    everyone = _everyone(spark, d)
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    report.write_report(
+        path, findings=collapse(found), everyone=everyone, suppressed=_suppressed(spark, d), seen=sightings(found),
+        totals=table(spark, d, "orders").agg(F.count("*").alias("records")), ruleset=load_rules(), root="orders",
+        started_at="a", finished_at="b")
+
+    def rows(part: str, a: str, b: str, n: str) -> DataFrame:
+        return spark.read.json(f"{path}/{part}").select(
+            F.lit(part).alias("part"), F.expr(a).alias("a"), F.expr(b).alias("b"), F.expr(n).cast("bigint").alias("n"))
+
+    return rows("findings", "finding_id", "value_redacted", "occurrences").unionByName(
+        rows("sightings", "finding_id", "location", "at.emit_seq")).unionByName(
+        rows("employees", "employee", "CAST(clean AS string)", "findings")).unionByName(
+        rows("counts", "dimension", "label", "n")).unionByName(
+        rows("suppressed", "suppressed_by", "''", "n")).unionByName(
+        rows("summary", "root", "redaction", "findings"))
+
+
 QUERIES = {
+    "report_dataset": _report_dataset,
     "collapse_repeats": _collapse,
     "sightings": _sightings,
     "also_at": _also_at,
@@ -183,6 +209,16 @@ _RECORDS = f"""
     UNION ALL SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), 'tool_result', 'plain-text', length(html) FROM pages"""
 
 SQL = {
+    "report_dataset": f"""
+        SELECT 'findings' AS part, finding_id AS a, {redact_sql('value_key')} AS b, occurrences AS n FROM ({_FINDINGS})
+        UNION ALL SELECT 'sightings', left(sha256(employee || chr(31) || rule_id || chr(31) || trim(value_key)), 16), location, "at" FROM ({_LATER})
+        UNION ALL SELECT 'employees', employee, CASE WHEN count(finding_id) = 0 THEN 'true' ELSE 'false' END, count(finding_id)
+        FROM ({_PEOPLE}) LEFT JOIN ({_FINDINGS}) USING (employee) GROUP BY employee
+        UNION ALL SELECT 'counts', 'employee', employee, count(*) FROM ({_FINDINGS}) GROUP BY employee
+        UNION ALL SELECT 'counts', 'category', category, count(*) FROM ({_FINDINGS}) GROUP BY category
+        UNION ALL SELECT 'counts', 'severity', severity, count(*) FROM ({_FINDINGS}) GROUP BY severity
+        UNION ALL SELECT 'suppressed', 'noise.p', '', count(*) FROM orders WHERE o_orderstatus = 'P' HAVING count(*) > 0
+        UNION ALL SELECT 'summary', 'orders', 'redacted', count(*) FROM ({_FINDINGS})""",
     "collapse_repeats": f"""
         SELECT finding_id, employee, rule_id, severity, location, occurrences, {redact_sql('value_key')} AS value_redacted,
                first_seen FROM ({_FINDINGS})""",
