@@ -68,6 +68,34 @@ def test_leaks(spark):
     assert dc.contaminated(docs.limit(0), benchmark).count() == 0
 
 
+def test_leaks_of_common_items(spark):
+    """An item whose words are all common is found without its rarest words."""
+    item = [f"word{i}" for i in range(20)]
+    rows = [(k, " ".join(w for w in reversed(item) if w not in ("word5", "word10") or k % 5 == 0)) for k in range(60)]
+    rows.append((100, " ".join(w if w not in ("word5", "word10") else "other" for w in item)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.score) for r in dc.contaminated(docs, benchmark).collect()] == [(100, 1, 0.8)]
+
+
+@pytest.mark.parametrize("threshold", [0.15, 0.5, 0.8])
+def test_leaks_against_every_pair(spark, threshold):
+    rng = random.Random(3)
+    names = [f"w{i}" for i in range(40)]
+    items = [[rng.choice(names) for _ in range(rng.randrange(5, 18))] for _ in range(25)]
+    texts = []
+    for k in range(120):
+        words = [rng.choice(names) for _ in range(rng.randrange(0, 40))]
+        at = rng.randrange(len(words) + 1)
+        words[at:at] = edited(items[k % 25], rng, rng.choice([0.2, 0.4, 0.6]))
+        texts.append(words)
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    want = {(k, i): s for k, t in enumerate(texts) for i, w in enumerate(items) if (s := direct_score(w, t)) >= threshold}
+    got = {(r.doc_id, r.item_id): r.score for r in dc.contaminated(docs, benchmark, threshold=threshold).collect()}
+    assert got == pytest.approx(want) and len(want) > 10
+
+
 @pytest.fixture(scope="module")
 def forest(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")

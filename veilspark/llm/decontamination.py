@@ -1,10 +1,11 @@
 """Find benchmark items in documents, copied or edited.
 
-Rare word n-grams of the items are looked up at every position of every document;
-each meeting names a stretch of the document, and a Smith-Waterman alignment of the
-item with that stretch gives the score.  An n-gram is rare if its words, counted
-over all documents, would seldom meet by chance; a leaked copy does not make it
-common.  Documents are never shuffled.
+Word pairs of the items are looked up at every position of every document; each
+meeting names a stretch of the document, and a Smith-Waterman alignment of the item
+with that stretch gives the score.  An item's most common pairs are left out, but
+only so many that every alignment that reaches the threshold still holds one of the
+others: how common an item became decides what the search costs, not what it finds.
+Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from . import words
 
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+#: Meetings of seeds with a text that are looked at together.
+MEETINGS = 1 << 17
 
 
 def plain_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -43,50 +46,92 @@ class Items:
         self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint64)
         self.seeds = np.zeros(0, np.uint64)
 
-    def choose_seeds(self, share: np.ndarray, widths: tuple[int, ...], rare: float, least: int) -> None:
-        """Keep n-grams that chance makes at fewer than *rare* of all positions, and each item's *least* rarest."""
-        seed, item, place = [], [], []
+    def choose_seeds(self, share: np.ndarray, threshold: float) -> None:
+        """Keep the rarest n-grams of each item that no alignment of *threshold* can do without.
+
+        A score of *least* words needs that many more matches than edits, and matches lie in one run more
+        than there are edits at most: *least* - 1 word pairs of the item are whole in the alignment.  All
+        but *least* - 2 of its pairs are seeds, so one of them is met.  Where that needs no pair, single
+        words are taken, of which *least* match.
+        """
+        seed, item, place, grams = [], [], [], []
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        least = np.maximum(1, np.ceil(threshold * self.size - 1e-9).astype(np.int64))
+        self.width = np.where(least > 1, 2, 1)
+        self.need = least - self.width + 1
+        #: An alignment reaches no farther than its edits beyond the item's place beside one of its matches.
+        self.reach = np.maximum(self.size - least, 0) + 2
         for i, tokens in enumerate(self.words):
+            width = int(self.width[i])
             p = np.log(np.maximum(share[np.searchsorted(self.vocabulary, tokens)], 1e-300))
-            chance, found, at = [], [], []
-            for width in widths:
-                n = len(tokens) - width + 1
-                if n > 0:
-                    chance.append(sum(p[k:k + n] for k in range(width)))
-                    found.append(words.shingles(np.array([0, len(tokens)]), tokens, width)[1])
-                    at.append(np.arange(n))
-            chance, found, at = map(np.concatenate, (chance, found, at))
-            kept = np.union1d(np.flatnonzero(chance <= np.log(rare)), np.argsort(chance, kind="stable")[:least])
+            n = len(tokens) - width + 1
+            found = words.shingles(np.array([0, len(tokens)]), tokens, width)[1]
+            kept = np.argsort(sum(p[k:k + n] for k in range(width)), kind="stable")[:max(0, n - self.need[i] + 1)]
             seed.append(found[kept])
             item.append(np.full(len(kept), i))
-            place.append(at[kept])
+            place.append(kept)
+            grams.append(words.chain(found, np.uint64(i)))
         if seed:
             seed, item, place = map(np.concatenate, (seed, item, place))
             order = np.argsort(seed, kind="stable")
             self.seeds, self.item, self.place = seed[order], item[order], place[order]
-        self.widths = widths
+            self.grams = np.unique(np.concatenate(grams))
 
-    def hits(self, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(position, item, place in the item)`` of every seed; *starts* are the first words of texts."""
-        out = []
-        bounds = np.concatenate((starts, [len(tokens)]))
-        for width in self.widths:
+    def hits(self, offsets: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(text, item, diagonal)`` in order, once each, of seeds with enough n-grams of their item around them."""
+        out = [(np.zeros(0, np.int64),) * 3]
+        for width in np.unique(self.width).tolist() if len(self.seeds) else []:
             n = len(tokens) - width + 1
-            if n <= 0 or not len(self.seeds):
+            if n <= 0:
                 continue
             value = words.mix(tokens[:n] + np.uint64(width))
+            whole = np.ones(n, bool)
             for k in range(1, width):
                 value = words.chain(value, tokens[k:n + k])
-            at = np.flatnonzero(self.seeds[np.minimum(np.searchsorted(self.seeds, value), len(self.seeds) - 1)] == value)
-            within = bounds[np.searchsorted(bounds, at, side="right")] - at >= width
-            at = at[within]
+                last = offsets - k
+                whole[last[(last >= 0) & (last < n)]] = False
+            at = np.flatnonzero(whole & (self.seeds[np.minimum(np.searchsorted(self.seeds, value), len(self.seeds) - 1)] == value))
             low, high = (np.searchsorted(self.seeds, value[at], side=s) for s in ("left", "right"))
             count = high - low
-            index = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            out.append((np.repeat(at, count), self.item[index], self.place[index]))
-        if not out:
-            return (np.zeros(0, np.int64),) * 3
-        return tuple(map(np.concatenate, zip(*out)))
+            # a frequent seed of many items: so many meetings at once
+            ends = np.cumsum(count)
+            start = 0
+            while start < len(at):
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + MEETINGS, side="right")))
+                c = count[start:stop]
+                index = np.repeat(low[start:stop] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+                place = np.repeat(at[start:stop], c)
+                text = np.searchsorted(offsets, place, side="right") - 1
+                out.append(self._dense(offsets, value, width, *_once(text, self.item[index], place - self.place[index])))
+                start = stop
+        return _once(*map(np.concatenate, zip(*out)))
+
+    def _dense(self, offsets, value, width, text, item, diagonal) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The meetings around which as many n-grams of the item lie as an alignment needs."""
+        low = np.maximum(offsets[text], diagonal - self.reach[item])
+        high = np.minimum(offsets[text + 1], diagonal + self.size[item] + self.reach[item]) - width + 1
+        length = np.maximum(high - low, 0)
+        kept = np.zeros(len(text), bool)
+        ends, start = np.cumsum(length), 0
+        while start < len(text):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 8 * MEETINGS, side="right")))
+            c = length[start:stop]
+            at = np.repeat(low[start:stop] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+            owner = np.repeat(np.arange(stop - start), c)
+            key = words.chain(value[at], item[start:stop].astype(np.uint64)[owner])
+            met = self.grams[np.minimum(np.searchsorted(self.grams, key), len(self.grams) - 1)] == key
+            kept[start:stop] = np.bincount(owner[met], minlength=stop - start) >= self.need[item[start:stop]]
+            start = stop
+        return text[kept], item[kept], diagonal[kept]
+
+
+def _once(text: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct triples in order."""
+    order = np.lexsort((diagonal, item, text))
+    text, item, diagonal = text[order], item[order], diagonal[order]
+    new = np.ones(len(text), bool)
+    new[1:] = (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(diagonal) != 0)
+    return text[new], item[new], diagonal[new]
 
 
 def align(items: list[np.ndarray], stretches: list[np.ndarray]) -> np.ndarray:
@@ -119,20 +164,15 @@ def align(items: list[np.ndarray], stretches: list[np.ndarray]) -> np.ndarray:
 def _leaks(texts: pa.Array, items: Items, threshold: float) -> list[list[dict]]:
     offsets, tokens = plain_words(texts)
     found: list[list[dict]] = [[] for _ in range(len(texts))]
-    position, item, place = items.hits(tokens, offsets[:-1])
-    if not len(position):
-        return found
-    text = np.searchsorted(offsets, position, side="right") - 1
-    order = np.lexsort((position - place, item, text))
-    text, item, diagonal = text[order], item[order], (position - place)[order]
-    size = np.array([len(w) for w in items.words])
+    text, item, diagonal = items.hits(offsets, tokens)
+    size = items.size
     # seeds of a copy lie on near diagonals; those more than an item's length apart are another stretch
     stretches, i, n = [], 0, len(text)
     while i < n:
         same = np.searchsorted(text[i:], text[i], side="right") + i
         same = np.searchsorted(item[i:same], item[i], side="right") + i
         j = int(np.searchsorted(diagonal[i:same], diagonal[i] + size[item[i]], side="right") + i)
-        reach = size[item[i]] // 2 + 2
+        reach = items.reach[item[i]]
         low = max(offsets[text[i]], diagonal[i] - reach)
         high = min(offsets[text[i] + 1], diagonal[j - 1] + size[item[i]] + reach)
         stretches.append((int(text[i]), int(item[i]), int(low), int(high)))
@@ -170,13 +210,13 @@ LEAKS = "array<struct<item_id: long, score: double, first_word: long, words: lon
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.5, widths: tuple[int, ...] = (2, 3), rare: float = 1e-8,
-    least_seeds: int = 4, least_words: int = 5, words_at_once: int = 1 << 22,
+    docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.5, least_words: int = 5, words_at_once: int = 1 << 22,
 ) -> Column:
     """A column over ``docs(text)``: the items of ``benchmark(item_id, text)`` found in each text.
 
     Each entry has the alignment's score (1: every word in order; at least *threshold*),
-    and the stretch of the text, in words without bare punctuation.  An item found in
+    and the stretch of the text, in words without bare punctuation.  Every text that
+    reaches *threshold* is found, however common the item's words are.  An item found in
     several places appears for each.  A null or empty text has none.  Items of fewer than
     *least_words* words or without text are not searched: they meet by chance.
 
@@ -194,7 +234,7 @@ def leaks(
             "item_id", "text").collect()
         items = Items([r.item_id for r in rows], [r.text for r in rows], least_words)
         if items.words:
-            items.choose_seeds(word_shares(docs, items.vocabulary), widths, rare, least_seeds)
+            items.choose_seeds(word_shares(docs, items.vocabulary), threshold)
             groups.append(spark.sparkContext.broadcast(items))
 
     @F.arrow_udf(LEAKS)
