@@ -123,3 +123,24 @@ def test_forest_held_out(spark, forest):
     assert not got[1, 1, 0].is_secret and not got[2, 0, 0].is_secret
     assert key not in got[None, 3, 0].masked
     assert sf.secrets(docs.limit(0), model).count() == 0
+
+
+def test_short_secrets(spark, forest):
+    language, labelled = forest
+    model = sf.train(labelled, language)
+    secret = {
+        1: ("run with PASSWORD=Tr0ub4dor&3 here", "Tr0ub4dor&3"), 2: ("set api_key=9f3c1a7be21d now", "9f3c1a7be21d"),
+        3: ("open postgres://app:s3cr3t!@db now", "s3cr3t!"), 4: ('{"user":"x","password":"k7#Qz!p"}', "k7#Qz!p"),
+        5: ("the token = 'aB3x9Zq1' there", "aB3x9Zq1"), 6: ('say password = "blue horse 77 stairs" twice', "blue horse 77 stairs"),
+        7: ("Authorization: Bearer q9Zt5LmXw2", "q9Zt5LmXw2"), 8: ("a=1&token=Zk3v8Qp1x&b=2", "Zk3v8Qp1x"),
+    }
+    other = {20: "the token is read by the parser", 21: "password: string", 22: "PASSWORD=${DB_PASSWORD}", 23: "max_tokens=4096 words",
+             24: "no names at all", 25: "the author said so"}
+    rows = [*((k, t) for k, (t, _) in secret.items()), *other.items(), (26, None), (27, "password=" + "a;b'c" * 50_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    values = {(r.doc_id, r.value) for r in sf.candidates(docs).collect()}
+    assert {(k, v) for k, (_, v) in secret.items()} <= values
+    assert not [v for v in values if v[0] in (24, 25, 26)] and (27, "a;b'c" * 50_000) in values
+    got = sf.classify(sf.candidates(docs), model).collect()
+    kept = {(r.doc_id, r.value) for r in got if r.probability >= 0.5 and r.doc_id != 27}
+    assert {(k, v) for k, (_, v) in secret.items()} == kept

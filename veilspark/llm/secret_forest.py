@@ -1,7 +1,8 @@
 """Tell secrets from look-alikes with a random forest.
 
-Candidates are long runs of token characters anywhere in a text.  Each is described
-by its length, its characters and how likely they follow one another, how much of it
+Candidates are long runs of token characters anywhere in a text, and values of any
+length and characters that are assigned to the name of a credential, follow one, or
+are the password of a URL.  Each is described by its length, its characters and how likely they follow one another, how much of it
 dictionary words cover, whether it is part of a path, and the words around it.  The
 forest is trained from labelled findings.  Everything is DataFrame operations.
 """
@@ -24,14 +25,31 @@ from .mixing import uniform
 RUN = r"[A-Za-z0-9+/_~.-]"
 LEAST = 20
 LETTERS = "abcdefghijklmnopqrstuvwxyz0"
-CREDENTIAL = r"(?i)(token|secret|passw|pwd|api[_-]?key|apikey|credential|auth|bearer|private[_-]?key|access[_-]?key|signature)"
+NAME = (r"(?:token|secret|passw|passphrase|passcode|pwd|api[_-]?key|credential|auth(?!or(?!i[sz]))|bearer|private[_-]?key"
+        r"|access[_-]?key|[_-]key|signature)")
+CREDENTIAL = f"(?i){NAME}"
+SIGN = "(?:=>|:=|[=:])"
+QUOTE = "[\"'`]"
+#: The name of a credential at the end of a word, with a sign of assignment or without.
+LEAD = rf"(?i){NAME}[\w-]{{0,64}}[\\\"'`\])]{{0,4}}{SIGN}?$"
+#: A value without quotes ends before the next assignment in its word.
+BARE = rf"(?:[^\s\"'`,;&]|[,;&](?!{QUOTE}?[A-Za-z_][\w.-]{{0,64}}{QUOTE}?[=:])|{QUOTE}(?=[A-Za-z0-9]))++"
+HEAD = rf"(?i){NAME}[\w-]{{0,64}}[\\\"'`\])]{{0,4}}{SIGN}"
+ASSIGNED = rf"""{HEAD}(?:\\?"[^"]+"?|\\?'[^']+'?|`[^`]+`?|{BARE})"""
+USERINFO = r"""://[^\s/:@?#"'<>]*:([^\s/"'<>]+)@"""
+#: A quoted value may go on for so many words; where its quote does not end there, it is one word.
+QUOTED_WORDS = 32
 DIGEST = r"(?i)(commit|sha-?\d|md5|checksum|digest|hash|etag|revision|uuid|build|blob|tree)"
 #: Beginnings that issuers publish for their keys.
 ISSUER = r"^(AKIA|ASIA|gh[pousr]_|glpat-|xox[abp]-|[sr]k_live_|AIza|npm_|hf_|SG\.|eyJ)"
+#: Values that stand for another one: variables, calls, types, switches, numbers and masks.
+REFERENCE = (r"(?i)^(\W+|[$%<{\[].*|.*\(.*|x+|(self|this|os|process|config|settings|env|args|request)\..*|\d{1,6}"
+             r"|true|false|null|none|nil|undefined|string|str|int|number|bool|boolean|text|required|optional|yes|no|user|pass(word)?|secret|token)$")
 SAMPLE = r"(?i)(example|your[_-]|changeme|placeholder|dummy|sample|redacted|x{6,}|0{8,}|1234567)"
 FEATURES = (
     "length", "distinct", "digits", "upper", "symbols", "changes", "transition", "coverage", "hex", "slashes", "dots",
     "dashes", "path", "issuer", "credential", "digest", "assigned", "quoted", "sample", "letters_before", "letters_after",
+    "reference", "userinfo",
 )
 
 
@@ -50,19 +68,66 @@ class Forest:
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, word_no, run_no, value, word, before2, before1, after``: every run of token characters of
-    at least 20 characters in the whole text.  A null or empty text has none; repeated rows repeat theirs."""
-    def long(words: Column) -> Column:
-        numbered = F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w")))
-        return F.transform(F.filter(numbered, lambda s: F.length(s["w"]) >= LEAST), lambda s: F.struct(
+    """``doc_id, word_no, run_no, value, word, before2, before1, after``: every run of token characters of at least
+    20 characters in the whole text, then, in the same word, every other value that is assigned to or follows the
+    name of a credential or is a URL's password; of these, ``word`` is the assignment alone.  A quoted value may
+    hold blanks (each stretch counts as one).  A null or empty text has none; repeated rows repeat theirs."""
+    def marked(words: Column, named: Column) -> Column:
+        def about(w: Column, i: Column) -> Column:
+            before2, before1 = F.get(words, i - 2), F.get(words, i - 1)
+            follows = F.coalesce(
+                (F.get(named, i - 1) & before1.rlike(LEAD))
+                | (F.get(named, i - 2) & before1.rlike(rf"(?i)^({SIGN}|is|basic)$") & before2.rlike(LEAD)), F.lit(False))
+            return F.struct(i.alias("i"), w.alias("w"), follows.alias("follows"))
+
+        found = F.filter(F.transform(words, about), lambda s: (
+            (F.length(s["w"]) >= LEAST) | s["follows"] | F.get(named, s["i"]) | s["w"].contains("://")))
+        return F.transform(found, lambda s: F.struct(
             s["i"].alias("word_no"), s["w"].alias("word"), F.get(words, s["i"] - 2).alias("before2"),
-            F.get(words, s["i"] - 1).alias("before1"), F.get(words, s["i"] + 1).alias("after")))
+            F.get(words, s["i"] - 1).alias("before1"), F.get(words, s["i"] + 1).alias("after"), s["follows"].alias("follows"),
+            F.when((s["follows"] | F.get(named, s["i"])) & s["w"].rlike(QUOTE), F.slice(words, s["i"] + 2, QUOTED_WORDS)).alias("tail")))
 
     # neighbours are looked up inside the row: a row of the explosion carries no word list
-    found = let(F.split(text, r"[\x20\x09-\x0D]+"), long)
-    near = docs.where(F.col(text).rlike(f"{RUN}{{{LEAST}}}")).select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.*")
+    found = let(F.split(text, r"[\x20\x09-\x0D]+"), lambda words: let(
+        F.transform(words, lambda w: w.rlike(CREDENTIAL)), lambda named: marked(words, named)))
+    some = F.col(text).rlike(f"{RUN}{{{LEAST}}}") | F.col(text).rlike(CREDENTIAL) | F.col(text).rlike(USERINFO)
+    near = docs.where(some).select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.*")
     runs = F.regexp_extract_all("word", F.lit(f"({RUN}{{{LEAST},}}={{0,2}})"), F.lit(1))
-    return near.select("*", F.posexplode(runs).alias("run_no", "value"))
+    values = let(runs, lambda r: F.concat(
+        F.transform(r, lambda v: F.struct(F.col("word").alias("word"), v.alias("value"))),
+        F.array_distinct(F.filter(_named_values(), lambda x: (x["value"] != "") & ~F.exists(r, lambda v: (v == x["value"]) | (
+            (F.length(x["value"]) >= LEAST) & v.contains(x["value"])))))))
+    out = near.select("doc_id", "word_no", "before2", "before1", "after", F.posexplode(values).alias("run_no", "v"))
+    return out.select("doc_id", "word_no", "run_no", "v.value", "v.word", "before2", "before1", "after")
+
+
+def _named_values() -> Column:
+    """``word, value`` of what is assigned inside ``word``, of the passwords of its URLs, and of itself where it follows a name."""
+    word, tail = F.col("word"), F.coalesce("tail", F.array().cast("array<string>"))
+
+    def value(whole: Column, raw: Column) -> Column:
+        ends = [F.filter(F.transform(tail, lambda w, i: F.when(w.contains(q), i + 1)), lambda i: i.isNotNull()) for q in "\"'`"]
+        open_ = [raw.rlike(rf"^\\?{q}[^{q}]*$") for q in "\"'`"]
+        count = F.coalesce(*(F.when(o, F.get(e, F.lit(0))) for o, e in zip(open_, ends)), F.lit(0))
+
+        def closed(n: Column) -> Column:
+            more = F.when(n > 0, F.concat(F.lit(" "), F.array_join(F.slice(tail, 1, F.greatest(n, F.lit(1))), " "))).otherwise("")
+            full = F.concat(raw, more)
+            quoted = F.concat(*(F.regexp_extract(full, rf"^\\?{q}([^{q}]*)", 1) for q in "\"'`"))
+            bare = F.regexp_replace(F.regexp_extract(full, rf"^[(\[]*({BARE})", 1), r"(?<=[^.,;:)\]}>])[.,;:)\]}>]+$", "")
+            bare = F.when(full.rlike(r"^[<{$]"), F.regexp_extract(full, rf"^({BARE})", 1)).otherwise(bare)
+            found = F.when(full.rlike(rf"^\\?{QUOTE}"), F.regexp_replace(quoted, r"\\$", "")).otherwise(bare)
+            return F.struct(F.concat(whole, more).alias("word"), found.alias("value"))
+
+        return let(count, closed)
+
+    inside = F.transform(F.regexp_extract_all(word, F.lit(ASSIGNED), F.lit(0)), lambda m: value(m, F.regexp_replace(m, f"^{HEAD}", "")))
+    urls = F.transform(F.regexp_extract_all(word, F.lit(USERINFO), F.lit(0)), lambda m: F.struct(
+        m.alias("word"), F.regexp_extract(m, USERINFO, 1).alias("value")))
+    none = F.array().cast("array<struct<word:string,value:string>>")
+    after = F.when(F.col("follows") & ~word.rlike(ASSIGNED) & ~word.rlike("(?i)^(bearer|basic)$"),
+                   F.array(value(word, F.regexp_replace(word, f"^{SIGN}+", "")))).otherwise(none)
+    return F.concat(inside, urls, after)
 
 
 def _share(value: Column, pattern: str) -> Column:
@@ -83,7 +148,10 @@ def describe(found: DataFrame, language: Language) -> DataFrame:
     value, word = F.coalesce("value", F.lit("")), F.coalesce("word", F.lit(""))
     value = F.when(value == "", "-").otherwise(value)
     before = F.concat_ws(" ", "before2", "before1")
-    head = F.substr(word, F.lit(1), F.greatest(F.position(value, word) - 1, F.lit(0)))
+    # a short value may also be part of the name before it
+    first = F.when(F.length(value) >= LEAST, F.position(value, word)).otherwise(
+        F.length(word) - F.length(value) - F.position(F.reverse(value), F.reverse(word)) + 2)
+    head = F.substr(word, F.lit(1), F.greatest(F.when(word.contains(value), first).otherwise(0) - 1, F.lit(0)))
     lead = F.concat(F.coalesce("before1", F.lit("")), head)
     ids = F.transform(F.split(_folded(value), ""), _letter)
     table = F.array(*(F.lit(p) for p in language.pairs))
@@ -111,6 +179,7 @@ def describe(found: DataFrame, language: Language) -> DataFrame:
         "digest": flag(F.concat_ws(" ", before, head).rlike(DIGEST)),
         "assigned": flag(lead.rlike(r"(=|:|=>)\W*$")), "quoted": flag(lead.rlike("[\"'`]$")),
         "sample": flag(F.concat_ws(" ", before, word).rlike(SAMPLE)),
+        "reference": flag(value.rlike(REFERENCE)), "userinfo": flag(head.rlike("://[^/?#]*:$")),
         "letters_before": _share(F.concat(before, F.lit(" ")), "[a-z]"),
         "letters_after": _share(F.concat(F.coalesce("after", F.lit("")), F.lit(" ")), "[a-z]"),
     }
@@ -141,7 +210,7 @@ def _drawn(docs: DataFrame, n: int) -> DataFrame:
 
 
 def planted_findings(docs: DataFrame, *, text: str = "text", rows: int = 4000) -> DataFrame:
-    """About *rows* labelled findings: values of known kinds between words of real documents.
+    """About *rows* labelled findings of long values, and as many of short ones: known kinds between words of real documents.
 
     Secrets stand after names of credentials; look-alikes are digests, identifiers, paths, addresses,
     placeholders, rules, numbers and words run together.  Columns as of :func:`candidates`, and ``label``.
@@ -189,9 +258,58 @@ def planted_findings(docs: DataFrame, *, text: str = "text", rows: int = 4000) -
         case(0, w(1), "", F.rpad(F.regexp_replace(hexed, "[a-f]", ""), 24, "0123456789")),
     ]
     chosen = F.element_at(F.array(*kinds), (number + 1).cast("int"))
-    return few.select("doc_id", chosen.alias("k"), F.get("w", F.lit(6)).alias("after")).select("doc_id", "k.*", "after").where(
+    long = few.select("doc_id", chosen.alias("k"), F.get("w", F.lit(6)).alias("after")).select("doc_id", "k.*", "after").where(
         F.length("value") >= LEAST)
 
+    def pick(*options: str, by: str = "pick") -> Column:
+        at = F.pmod(F.xxhash64("doc_id", lit(by)), lit(len(options))) + 1
+        return F.element_at(F.array(*map(lit, options)), at.cast("int"))
+
+    short = (4 + F.pmod(F.xxhash64("doc_id", lit("short")), lit(13))).cast("int")
+    name = pick("password", "token", "secret", "api_key", "DB_PASSWORD", "passwd", "pwd", "auth_token", "client_secret", "ACCESS_KEY")
+    sign = pick("!", "&", "#", "$", "%", "@", "*", "?", "^", "+", by="sign")
+    plain = F.substr(mixed, lit(1), short)
+    odd = F.concat(F.substring(mixed, 7, 4), sign, F.substr(mixed, lit(12), short))
+    number = F.substr(F.regexp_replace(hexed, "[a-f]", ""), lit(1), lit(2) + F.pmod("doc_id", lit(3)).cast("int"))
+    spoken = F.concat(F.initcap(F.translate(F.lower(F.concat(w(2), F.substring(w(3), 1, 3))), "oea", "034")), sign, number)
+    pin = F.concat(F.lower(w(2)), number)
+    several = F.concat_ws(" ", F.lower(w(2)), F.lower(w(3)), F.lower(w(4)), number)
+    proper = F.when(F.pmod("doc_id", lit(3)) == 0, odd).when(F.pmod("doc_id", lit(3)) == 1, plain).otherwise(
+        F.substr(hexed, lit(1), short + 2))
+    stands = pick(
+        "${PASSWORD}", "$TOKEN", "<password>", "{token}", "%s", "********", "xxxx", "changeme", "process.env.TOKEN", "getToken()",
+        "self.token", "config.password", "true", "false", "null", "None", "string", "str", "int", "required", "optional", "your-token",
+        "0", "1", "16", "512", "4096", "password", "os.environ", "undefined", "<your-key>", "example", "|", "-", "(", by="stands")
+    url = pick("://app:", "://root:", "://user:", "://:", "://svc:", by="url")
+
+    def inside(label: int, value: Column, before: str = "=", after: str = "") -> Column:
+        return F.struct(
+            w(0).alias("before2"), w(1).alias("before1"), F.concat(name, lit(before), value, lit(after)).alias("word"),
+            value.alias("value"), lit(float(label)).alias("label"))
+
+    def sole(label: int, value: Column, before2: Column, before1: Column, head: str = "", tail: str = "") -> Column:
+        return case(label, before1, head, value, tail, before2)
+
+    def in_url(label: int, value: Column) -> Column:
+        return F.struct(w(0).alias("before2"), w(1).alias("before1"), F.concat(url, value, lit("@")).alias(
+            "word"), value.alias("value"), lit(float(label)).alias("label"))
+
+    brief = [
+        inside(1, odd), inside(1, plain), inside(1, F.substring(hexed, 1, 12)), inside(1, spoken, '="', '"'), inside(1, pin),
+        inside(1, proper, '":"', '"'), sole(1, proper, name, lit("="), '"', '"'), sole(1, spoken, w(0), F.concat(name, lit(":"))),
+        sole(1, plain, lit("Authorization:"), lit("Bearer")), sole(1, odd, w(0), F.concat(lit("--"), name)),
+        sole(1, several, name, lit("="), '"', '"'), in_url(1, proper), in_url(1, spoken), sole(1, proper, name, lit("is")),
+        inside(0, stands), inside(0, stands, ":"), sole(0, stands, name, lit("=")), sole(0, stands, w(0), F.concat(name, lit(":"))),
+        sole(0, stands, w(0), name), sole(0, F.lower(w(2)), w(0), name), sole(0, w(2), w(0), pick("token", "tokens", "secret", "signature", "authentication")),
+        sole(0, F.lower(w(2)), w(0), F.concat(name, lit(":"))), sole(0, F.lower(w(2)), name, lit("is")),
+        sole(0, F.lower(w(2)), w(0), pick("bearer", "secretary", "secrets", "credentials", "authority", "password")), in_url(0, stands),
+        inside(0, F.concat(lit("get_"), F.lower(w(2)), lit("()"))), inside(0, F.concat(F.lower(w(2)), lit("."), F.lower(w(3)))),
+        inside(0, number, ":"),
+    ]
+    kind = F.pmod(F.xxhash64("doc_id", lit("brief")), lit(len(brief)))
+    more = few.select("doc_id", F.element_at(F.array(*brief), (kind + 1).cast("int")).alias("k"), F.get("w", F.lit(6)).alias("after"))
+    return long.unionByName(more.select("doc_id", "k.*", "after").where("value <> ''"))
+
 
 def train(labelled: DataFrame, language: Language, *, trees: int = 30, depth: int = 8, seed: int = 5) -> Forest:
     """A forest from ``labelled(value, word, before2, before1, after, label)``, label 1.0 for secrets."""
