@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.staging import shared_folder
-from . import chat, decontamination, jaccard, kneser_ney, language, mixing, near_vectors, secret_forest, token_ids, warc
+from . import (
+    centroids, chat, decontamination, jaccard, kneser_ney, language, mixing, near_vectors, part_codes, secret_forest, token_ids, warc,
+)
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -250,3 +252,83 @@ def op1_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_score_texts"] = op1_score_texts
+
+
+# 11: centroids
+
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(_read(spark, sf_dir, "embeddings"))
+
+
+def _floor(total: str, count: str) -> str:
+    """Division that rounds down; DuckDB's rounds towards zero."""
+    return f"(({total}) - (({total}) % ({count}) + ({count})) % ({count})) // ({count})"
+
+
+def _whole_sql(keep: str) -> str:
+    finite = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    return f"""SELECT *, list_transform(embedding, lambda x: CAST(floor(256 * x::double) AS bigint)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND {finite} AND {keep}"""
+
+
+def _away(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+def _centroids_sql(k: int = 40, rounds: int = 5, width: int = 64) -> str:
+    steps = [f"""WITH n AS ({_whole_sql(f"len(embedding) = {width}")}),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), embedding) - 1 AS c, v AS m FROM n
+       QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id), embedding) <= {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, v, least_pair.c AS c, least_pair.d AS d FROM (
+    SELECT vec_id, any_value(v) AS v, min({{'d': CAST({_away("v", "m")} AS bigint), 'c': c}}) AS least_pair
+    FROM n, c{r} GROUP BY vec_id))""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT c, i, CAST(sum(x) AS bigint) AS t, count(*) AS n FROM (
+  SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(u.m, c{r}.m) AS m FROM c{r} LEFT JOIN (
+  SELECT c, list({_floor("t", "n")} ORDER BY i) AS m FROM s{r} GROUP BY c) u ON c{r}.c = u.c)""")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, CAST(a{rounds}.c AS int) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a{rounds}.c) AS bigint) AS cluster_inertia,
+  CAST(sum(d) OVER () AS bigint) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON a{rounds}.c = c{rounds}.c
+"""
+
+
+QUERIES["op11_centroids"] = op11_centroids
+SQL["op11_centroids"] = _centroids_sql()
+
+
+# 12: part codes
+
+def op12_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_codes.part_codes(_read(spark, sf_dir, "embeddings"))
+
+
+def _part_codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    steps = [f"""WITH n AS ({_whole_sql("len(embedding) > 0")}),
+p AS MATERIALIZED (SELECT vec_id, label, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS w
+  FROM n, unnest(range({parts})) AS t(p)),
+b0 AS (SELECT p, e - 1 AS e, w AS m FROM (
+  SELECT *, dense_rank() OVER (ORDER BY vec_id) AS e FROM p) WHERE e <= {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, any_value(label) AS label, p.p, any_value(w) AS w, min({{'d': CAST({_away("w", "m")} AS bigint), 'e': e}}) AS best
+  FROM p JOIN b{r} ON p.p = b{r}.p GROUP BY vec_id, p.p)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT p, e, i, CAST(sum(x) AS bigint) AS t, count(*) AS n FROM (
+  SELECT p, best.e AS e, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM a{r}) GROUP BY p, e, i),
+b{r + 1} AS MATERIALIZED (SELECT b{r}.p, b{r}.e, coalesce(u.m, b{r}.m) AS m FROM b{r} LEFT JOIN (
+  SELECT p, e, list({_floor("t", "n")} ORDER BY i) AS m FROM s{r} GROUP BY p, e) u ON b{r}.p = u.p AND b{r}.e = u.e)""")
+    return ",\n".join(steps) + f""",
+c AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code,
+  CAST(sum(best.d) AS bigint) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS bigint) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(m, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+FROM c
+"""
+
+
+QUERIES["op12_part_codes"] = op12_part_codes
+SQL["op12_part_codes"] = _part_codes_sql()
