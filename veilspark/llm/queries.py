@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..plans.staging import shared_folder
 from . import (
-    centroids, chat, decontamination, jaccard, kneser_ney, language, mixing, near_vectors, part_codes, secret_forest, token_ids, warc,
+    centroids, chat, decontamination, jaccard, kneser_ney, language, mixing, near_vectors, part_codes, projection_forest, secret_forest, token_ids,
+    warc,
 )
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -332,3 +333,12 @@ FROM c
 
 QUERIES["op12_part_codes"] = op12_part_codes
 SQL["op12_part_codes"] = _part_codes_sql()
+
+
+# 13: nearest vectors
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_forest.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES["op13_nearest"] = op13_nearest
