@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import paths
-from ..sources import account_export, embedded, plain_text, session_log
-from ..plans.staging import shared_folder
-from ..sources.files import classify, decode, open_archives, read_root
+from ..plans.staging import shared_folder, stage
+from ..sources import account_export, embedded, plain_text, ranges, session_log
+from ..sources.files import classify, from_contents, read_root
+from ..sources.writing import write_files
 from ..sources.tables import conversation_records, document_records
 from ..sources.transcripts import with_format
 
@@ -24,6 +26,8 @@ from .common import chunk_sql, quoted, table
 ENDINGS = (".txt", ".JSONL", ".json", ".png", "", ".md", ".log", ".tar.gz", ".text")
 FOLDERS = ("notes", ".git", "tool-results", "memory", "..", "a/tool_results", "__MACOSX", "deep/er")
 NAMES = ("", "._", "Instructions-")
+# Bytes of a part: small, so that texts run over several.
+EXPORT_PART, FOLDER_PART = 300, 1000
 
 
 def _pick(values: tuple[str, ...], by: Column) -> Column:
@@ -177,12 +181,18 @@ def _exports(spark: SparkSession, d: str) -> DataFrame:
     )
     return grouped.select(
         path.alias("path"), "employee", F.split(path, "/").alias("file_key"),
-        F.concat(F.lit("["), body, F.lit(', {"name": "odd"}, '), body, F.lit("]")).alias("text"),
+        F.concat(F.lit("["), body, F.lit(', {"name": "odd"}, '), body, F.lit("]")).cast("binary").alias("content"),
     )
 
 
+def _parsed_exports(spark: SparkSession, d: str) -> list[tuple[DataFrame, DataFrame]]:
+    """Read in parts far smaller than a conversation, so most of them run over several."""
+    found = ranges.parts(from_contents(stage(_exports(spark, d), "exports")), lambda name, text, whole: F.lit("export"), size=EXPORT_PART)
+    return [account_export.parse(rows, several) for rows, several in found]
+
+
 def _export_records(spark: SparkSession, d: str) -> DataFrame:
-    found, _ = account_export.parse(_exports(spark, d))
+    found = reduce(DataFrame.unionByName, [rows for rows, _ in _parsed_exports(spark, d)])
     return found.select(
         "file", "record_index", "block_index", "kind", "session_id", "title", "timestamp",
         F.md5(F.col("text").cast("binary")).alias("digest"),
@@ -190,7 +200,8 @@ def _export_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _export_problems(spark: SparkSession, d: str) -> DataFrame:
-    return account_export.parse(_exports(spark, d))[1].select("file", "code", "message")
+    met = reduce(DataFrame.unionByName, [met for _, met in _parsed_exports(spark, d)])
+    return met.select("file", "code", "message")
 
 
 # -- embedded payloads -------------------------------------------------------
@@ -222,12 +233,16 @@ def _payload_problems(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folder_scan(spark: SparkSession, d: str) -> DataFrame:
-    """The documents written as a folder per person, then read back as a scan root."""
+    """The documents written as a folder per person, many names hidden, then read back in small parts as a scan root."""
     root = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
-    table(spark, d, "documents").select("source", "lang", "text").write.partitionBy("source", "lang").text(root)
-    found = read_root(spark, root)
-    text = decode(F.col("content"))
-    return found.files.groupBy("employee", paths.parts(F.col("path"))[1].alias("folder")).agg(
+    name = F.concat(_pick(("", ".", "_"), F.col("doc_id")), F.col("doc_id").cast("string"), F.lit(".txt"))
+    documents = table(spark, d, "documents").where("text <> ''")
+    write_files(documents.select(
+        F.concat_ws("/", F.concat(F.lit("source="), "source"), F.concat(_pick((".lang=", "lang="), F.col("doc_id")), "lang"), name).alias("path"),
+        F.col("text").cast("binary").alias("content")), root)
+    text = F.col("text")
+    folder = F.regexp_replace(paths.parts(F.col("path"))[1], "^[.]", "")
+    return read_root(spark, root).parts(FOLDER_PART).groupBy("employee", folder.alias("folder")).agg(
         F.sum(F.length(text)).alias("characters"),
         F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).alias("lines"),
     )
@@ -250,12 +265,13 @@ def _zipped(folders: pd.Series, names: pd.Series, texts: pd.Series) -> pd.Series
 
 def _zip_scan(spark: SparkSession, d: str) -> DataFrame:
     """Every document in an archive of its own, some cut off in the middle: what is read, and what is left out."""
-    name = F.col("doc_id").cast("string")
+    root, name = f"{shared_folder(spark)}/zips-{uuid.uuid4().hex}", F.col("doc_id").cast("string")
     content = _zipped(F.coalesce("source", F.lit("nobody")), name, F.coalesce("text", F.lit("")))
     cut = F.when(F.col("doc_id") % 9 == 0, F.substring(content, 1, 40)).otherwise(content)
-    opened = open_archives("zips", table(spark, d, "documents").select(F.concat(name, F.lit(".zip")).alias("archive"), cut.alias("content")))
-    files = opened.files.groupBy(F.col("employee").alias("who")).agg(
-        F.count("*").alias("n"), F.sum(F.length("content")).cast("bigint").alias("bytes"))
+    write_files(table(spark, d, "documents").select(F.concat(name, F.lit(".zip")).alias("path"), cut.alias("content")), root)
+    opened = read_root(spark, f"{root}/*.zip")
+    files = opened.parts(FOLDER_PART).where("problem IS NULL").groupBy(F.col("employee").alias("who")).agg(
+        F.countDistinct("file_id").alias("n"), F.sum(F.length("content")).cast("bigint").alias("bytes"))
     reasons = opened.skipped.groupBy(F.substring_index("reason", " (", 1).alias("who")).agg(
         F.count("*").alias("n"), F.lit(0).cast("bigint").alias("bytes"))
     return files.unionByName(reasons)
@@ -313,9 +329,9 @@ SQL = {
         UNION ALL SELECT 'unsupported file type', n, 0 FROM each
         UNION ALL SELECT 'empty file', n + (SELECT count(*) FROM whole WHERE bytes = 0), 0 FROM each""",
     "folder_scan": """
-        SELECT 'source=' || source AS employee, 'lang=' || lang AS folder, CAST(sum(length(text) + 1) AS bigint) AS characters,
-               CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS bigint) AS lines
-        FROM (SELECT source, lang, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents)
+        SELECT 'source=' || source AS employee, 'lang=' || lang AS folder, CAST(sum(length(text)) AS bigint) AS characters,
+               CAST(sum(length(text) - length(replace(text, chr(10), ''))) AS bigint) AS lines
+        FROM (SELECT source, lang, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents WHERE text <> '')
         GROUP BY ALL""",
     "classify_paths": f"""
         WITH p AS (SELECT *, {_FILE} AS file, string_split(path, '/') AS parts, {_SUFFIX} AS suffix FROM ({_DOC_PATHS})),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import file_name, stem
 from ..functions.text import not_blank
 from ..schema import SOURCE_TEXT, records
+from .ranges import assemble
 
 # Fixed values.
 CHUNK_SIZE = 8_000
@@ -19,38 +20,59 @@ RESULT_FOLDERS = ("tool-results", "tool_results")
 # Chunks cut from one stretch; finding a place in a text costs its length, so a
 # long text is cut into stretches first.
 _STRETCH = 64
+_STEP = CHUNK_SIZE - CHUNK_OVERLAP
 
 
-def chunks(texts: DataFrame, *, spread_by: str | None = None) -> DataFrame:
-    """Explode ``text`` into ``chunk`` and ``chunk_index``.
+def _cut(texts: DataFrame, before: Column, total: Column) -> DataFrame:
+    """Explode ``text`` into ``chunk`` and ``chunk_index``; *before* characters of *total* lie ahead of it.
 
-    Chunks overlap, so a value on a boundary is whole in one of them.  A blank
-    chunk is skipped but keeps its number; the last one reaches the end.  With
-    *spread_by*, a column that tells texts apart, stretches of a text go to
-    different tasks.
+    ``whole`` marks chunks that lie entirely in this text.
     """
-    step = CHUNK_SIZE - CHUNK_OVERLAP
-    last = F.greatest(F.lit(0), F.ceil((F.length("text") - CHUNK_SIZE) / step)).cast("int")
-    stretches = texts.withColumn("_last", last).withColumn(
-        "_first", F.explode(F.sequence(F.lit(0), F.col("_last"), F.lit(_STRETCH)))
-    ).withColumn(
-        "text",
-        F.when(F.col("_last") < _STRETCH, F.col("text")).otherwise(
-            F.substring("text", F.col("_first") * step + 1, F.lit((_STRETCH - 1) * step + CHUNK_SIZE))
-        ),
+    length = F.length("text")
+    last = F.greatest(F.lit(0), F.ceil((F.col("_total") - CHUNK_SIZE) / _STEP))
+    first = F.greatest(F.lit(0), F.ceil((F.col("_before") - CHUNK_SIZE + 1) / _STEP))
+    stretches = (
+        texts.withColumn("_before", before.cast("bigint")).withColumn("_total", total.cast("bigint"))
+        .withColumn("_last", F.least(last, F.floor((F.col("_before") + length - 1) / _STEP)).cast("bigint"))
+        .withColumn("_low", first.cast("bigint"))
+        .where((length > 0) & (F.col("_low") <= F.col("_last")))
+        .withColumn("_first", F.explode(F.sequence(F.col("_low"), F.col("_last"), F.lit(_STRETCH).cast("bigint"))))
+        .withColumn("_at", F.greatest(F.lit(0), F.col("_first") * _STEP - F.col("_before")))
+        .withColumn("_ends", F.col("_before") + length)
+        .withColumn("text", F.when(F.col("_last") - F.col("_low") < _STRETCH, F.substring(
+            "text", F.col("_at") + 1, F.length("text"))).otherwise(
+            F.substring("text", F.col("_at") + 1, F.lit(_STRETCH * _STEP + CHUNK_SIZE))))
+        .withColumn("_start", F.col("_before") + F.col("_at"))
     )
-    if spread_by:
-        stretches = stretches.repartition(spread_by, "_first")
-    nth = F.sequence(F.lit(0), F.least(F.col("_last") - F.col("_first"), F.lit(_STRETCH - 1)))
+    numbers = F.sequence(F.col("_first"), F.least(F.col("_last"), F.col("_first") + _STRETCH - 1))
+    start = F.greatest(F.col("chunk_index") * _STEP, F.col("_before"))
+    stop = F.least(F.col("chunk_index") * _STEP + CHUNK_SIZE, F.col("_total"))
     return (
-        stretches.withColumn("_nth", F.explode(nth))
-        .withColumn("chunk", F.substring("text", F.col("_nth") * step + 1, F.lit(CHUNK_SIZE)))
-        .withColumn("chunk_index", F.col("_first") + F.col("_nth"))
-        .drop("text", "_last", "_first", "_nth")
-        .where(not_blank(F.col("chunk")))
+        stretches.withColumn("chunk_index", F.explode(numbers))
+        .withColumn("chunk", F.substring(
+            "text", (start - F.col("_start") + 1).cast("int"), (stop - start).cast("int")))
+        .withColumn("whole", (F.col("chunk_index") * _STEP >= F.col("_before")) & (stop <= F.col("_ends")))
+        .drop("text", "_before", "_total", "_last", "_low", "_first", "_at", "_ends", "_start")
     )
 
 
+def chunks(texts: DataFrame) -> DataFrame:
+    """Explode ``text`` into ``chunk`` and ``chunk_index``.
+
+    Chunks overlap, so a value on a boundary is whole in one of them.  A blank
+    chunk is skipped but keeps its number; the last one reaches the end.
+    """
+    cut = _cut(texts, F.lit(0), F.length("text"))
+    return cut.withColumn("chunk_index", F.col("chunk_index").cast("int")).drop("whole").where(not_blank(F.col("chunk")))
+
+
+def range_chunks(parts: DataFrame, several: bool = True) -> DataFrame:
+    """The chunks of files of any length, from their parts; only chunks over two parts are shuffled."""
+    total = F.when(F.col("start.all_chars") < 0, F.length("text")).otherwise(F.col("start.all_chars"))
+    cut = _cut(parts.select("file_id", "path", "employee", "file_key", "offset", "start", "text"), F.col("start.chars"), total)
+    return assemble(cut, "chunk_index", "chunk", F.col("whole"), several).where(not_blank(F.col("chunk")))
+
+
 def is_plain_text(name: Column) -> Column:
     lowered = F.lower(name)
     out = F.lit(False)
@@ -79,11 +101,10 @@ def session_of(path: Column) -> Column:
     return F.when(spilled, F.try_element_at(parts, F.lit(-3))).otherwise(stem(file_name(path)))
 
 
-def parse(files: DataFrame, *, large: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """``files(path, employee, file_key, text)`` to records; there are no problems."""
-    cut = chunks(files.where(not_blank(F.col("text"))), spread_by="path" if large else None)
+def parse(parts: DataFrame, several: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """Parts of texts to records; there are no problems."""
     return records(
-        cut,
+        range_chunks(parts, several),
         employee=F.col("employee"), session_id=session_of(F.col("path")), source=F.lit(SOURCE_TEXT),
         kind=kind_of(F.col("path")), text=F.col("chunk"), file=F.col("path"), file_key=F.col("file_key"),
         block_index=F.col("chunk_index"), emit_seq=F.col("chunk_index"), title=file_name(F.col("path")),
