@@ -153,12 +153,16 @@ def describe(found: DataFrame, language: Language) -> DataFrame:
         F.length(word) - F.length(value) - F.position(F.reverse(value), F.reverse(word)) + 2)
     head = F.substr(word, F.lit(1), F.greatest(F.when(word.contains(value), first).otherwise(0) - 1, F.lit(0)))
     lead = F.concat(F.coalesce("before1", F.lit("")), head)
-    ids = F.transform(F.split(_folded(value), ""), _letter)
     table = F.array(*(F.lit(p) for p in language.pairs))
-    steps = F.transform(
-        F.slice(ids, 2, F.greatest(F.size(ids) - 1, F.lit(0))),
-        lambda b, i: F.element_at(table, (F.get(ids, i) * 28 + b + 1).cast("int")))
-    mean = F.aggregate(steps, F.lit(0.0), lambda a, b: a + b) / F.greatest(F.size(steps), F.lit(1))
+
+    def mean_of(ids: Column) -> Column:
+        steps = F.transform(
+            F.slice(ids, 2, F.greatest(F.size(ids) - 1, F.lit(0))),
+            lambda b, i: F.element_at(table, (F.get(ids, i) * 28 + b + 1).cast("int")))
+        return let(steps, lambda s: F.aggregate(s, F.lit(0.0), lambda a, b: a + b) / F.greatest(F.size(s), F.lit(1)))
+
+    # bound once: looked up for every letter
+    mean = let(F.transform(F.split(_folded(value), ""), _letter), mean_of)
     covered = F.lit(0.0)
     if language.words:
         pattern = "|".join(sorted(language.words, key=lambda w: (-len(w), w)))
@@ -313,8 +317,10 @@ def planted_findings(docs: DataFrame, *, text: str = "text", rows: int = 4000) -
 
 def train(labelled: DataFrame, language: Language, *, trees: int = 30, depth: int = 8, seed: int = 5) -> Forest:
     """A forest from ``labelled(value, word, before2, before1, after, label)``, label 1.0 for secrets."""
+    # a few thousand rows, from all over the documents: written first, so that each plan stays small
+    few = stage(labelled.select("value", "word", "before2", "before1", "after", "label").repartition(8), "labelled")
     rows = VectorAssembler(inputCols=[f"f_{c}" for c in FEATURES], outputCol="features").transform(
-        describe(labelled, language)).select("features", "label")
+        describe(few, language)).select("features", "label")
     rows = stage(rows, "findings")  # the forest reads its rows several times
     learner = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8)
     return Forest(language, learner.fit(rows))
