@@ -142,6 +142,15 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
 
 
+def _packed(column: pa.Array, width: int) -> list[bytes]:
+    """Vectors as they came, in four or eight bytes a component."""
+    return [v.tobytes() for v in column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)]
+
+
+def _unpacked(column: pa.Array, width: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).astype(np.float64).reshape(-1, width)
+
+
 def _best(scores: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of scores that may be among the *k* best of their row, ties included; raises *floor*."""
     if scores.shape[1] > k:
@@ -271,7 +280,7 @@ def _shelve(forest: Forest, shelves: Shelves, width: int):
         for batch in lattice.pieces(batches, 1024):
             x = _matrix(batch.column("embedding"), width)
             key = batch.column("cid").to_numpy()
-            data = [v.tobytes() for v in x]
+            data = _packed(batch.column("embedding"), width)
             for leaf in forest.leaf_of(x).T:
                 shelf = shelves.first[leaf] + _scatter(key) % shelves.over[leaf]
                 times = shelves.copies[leaf]
@@ -304,7 +313,7 @@ def _send(shelves: Shelves, width: int, ids: pa.DataType):
             new[1:] = (row[1:] != row[:-1]) | (shelf[1:] != shelf[:-1])
             starts = np.flatnonzero(new)
             key = batch.column("qid").to_numpy()[row[starts]]
-            data = [v.tobytes() for v in _matrix(batch.column("embedding"), width)]
+            data = _packed(batch.column("embedding"), width)
             some = pa.ListArray.from_arrays(
                 pa.array(np.append(starts, len(row)).astype(np.int32)), pa.array(leaf.astype(np.int32)))
             yield _tile_rows(shelf[starts], _scatter(key) % shelves.copies[leaf[starts]], 1, pa.array(key), some,
@@ -316,11 +325,11 @@ def _send(shelves: Shelves, width: int, ids: pa.DataType):
 class _Shelf:
     """The classes of one shelf, by leaf."""
 
-    def __init__(self, rows: list[pa.RecordBatch], width: int):
+    def __init__(self, rows: list[pa.RecordBatch], width: int, kind: str):
         table = pa.Table.from_batches(rows).combine_chunks()
         leaf = table.column("leaves").combine_chunks().flatten().to_numpy()
         order = np.argsort(leaf, kind="stable")
-        self.x = np.frombuffer(b"".join(table.column("vector").to_pylist())).reshape(-1, width)[order]
+        self.x = _unpacked(table.column("vector"), width, kind)[order]
         self.ids = table.column("ids").combine_chunks().take(pa.array(order))
         self.cid = table.column("key").to_numpy()[order]
         first = self.ids.flatten().take(pa.array(np.cumsum(np.append(0, np.diff(self.ids.offsets.to_numpy())))[:-1]))
@@ -328,9 +337,9 @@ class _Shelf:
         names, starts = np.unique(leaf[order], return_index=True)
         self.part = dict(zip(names.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(order)])))
 
-    def search(self, batch: pa.RecordBatch, width: int, k: int) -> pa.RecordBatch:
+    def search(self, batch: pa.RecordBatch, width: int, kind: str, k: int) -> pa.RecordBatch:
         """The *k* best classes of each query in the leaves it visits."""
-        q = np.frombuffer(b"".join(batch.column("vector").to_pylist())).reshape(-1, width)
+        q = _unpacked(batch.column("vector"), width, kind)
         lists = batch.column("leaves")
         leaf = lists.flatten().to_numpy()
         row = np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy()))
@@ -357,7 +366,7 @@ class _Shelf:
             names=["qid", "score", "cid", "ids"])
 
 
-def _search(width: int, k: int):
+def _search(width: int, kind: str, k: int):
     """Over rows that come by shelf and copy, classes before queries."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -376,10 +385,10 @@ def _search(width: int, k: int):
                     rows.append(piece)
                     continue
                 if shelf is None and rows:
-                    shelf, rows = _Shelf(rows, width), []
+                    shelf, rows = _Shelf(rows, width, kind), []
                 if shelf is not None:
                     for some in lattice.pieces([piece], TOGETHER):
-                        yield shelf.search(some, width, k)
+                        yield shelf.search(some, width, kind, k)
 
     return run
 
@@ -462,7 +471,7 @@ def nearest(
     tiles = classes.mapInArrow(_shelve(forest, shelves, width), tile).union(
         walked.select("qid", "embedding", "leaves").mapInArrow(_send(shelves, width, ids_arrow), tile))
     found = tiles.repartition("shelf", "copy").sortWithinPartitions("shelf", "copy", "side").mapInArrow(
-        _search(width, k + 1), f"qid long, score double, cid long, ids array<{id_type}>")
+        _search(width, "<f4" if item == "float" else "<f8", k + 1), f"qid long, score double, cid long, ids array<{id_type}>")
 
     near = F.struct((-F.col("score")).alias("away"), F.col("ids")[0].alias("id"), "cid", "ids")
     by_query = Window.partitionBy("qid").orderBy("near")
