@@ -10,7 +10,7 @@ def findings(spark, rows):
 def test_greedy_matching(spark):
     found = findings(spark, [
         ("a", "r1", "ni", "high", 90, "pii", "f#0.0", "JT1"),
-        ("a", "r2", "name", "medium", 70, "pii", "f#0.900", "Daniel  Hartley"),
+        ("a", "r2", "name", "medium", 70, "pii", "f#0.900", "Mirela  Voss"),
         ("a", "r3", "ni", "high", 90, "pii", "f#0.0", "JT2"),
         ("a", "r4", "other", "low", 10, "internal", "f#1.0", "4 rows naming personal fields (x)"),
         ("a", "r5", "ni", "high", 90, "pii", "g#0.0", "JT3"),
@@ -19,7 +19,7 @@ def test_greedy_matching(spark):
         (1, "a", "f", 0, "pii", "ni", "high", "JT9"),
         (2, "a", "f", 0, "pii", "ni", "high", "JT2"),
         (3, "a", "f", 0, "pii", "ni", "high", "third"),
-        (4, "a", "f", 0, "pii", "label", "high", "daniel hartley"),
+        (4, "a", "f", 0, "pii", "label", "high", "mirela voss"),
         (5, "a", "f", 1, "pii", "export", "high", "rows naming"),
         (6, "a", "f", 2, "pii", "ni", "high", "JT3"),
     ], "plant_id bigint, employee string, file string, record_index bigint, category string, subtype string, "
