@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veilspark.llm import jaccard
 
@@ -27,7 +28,8 @@ def brute(rows):
     links = [(a, b) for a, b in links if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     same = {}
     for k, i in enumerate(name):
-        same.setdefault(i, []).append(k)
+        if i is not None:
+            links.append((same.setdefault(i, k), k))
     changed = True
     while changed:
         changed = False
@@ -67,6 +69,38 @@ def test_groups(spark, monkeypatch, seed, square):
     assert got == sorted(brute(rows), key=repr)
 
 
+def test_repeated_ids(spark):
+    a, b, c = "one two three four five six seven", "eight nine ten eleven twelve thirteen", "words of nobody else at all"
+    rows = [(5, a), (5, b), (3, b), (5, None), (5, c), (None, a), (None, None), (8, c), (9, a), (9, a), (7, "alone"), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in jaccard.shingle_groups(df).collect()), key=repr)
+    assert got == sorted(brute(rows), key=repr)
+    assert {c for i, _, c in got if i in (3, 5, 8, 9)} == {3}
+
+
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_bands(spark, percent):
+    """Sets that may link are never two bands apart."""
+    for at in range(1, 2000, 400):
+        df = spark.range(at, at + 400).select("id", jaccard.band(F.col("id"), percent).alias("b"),
+                                              jaccard.band(F.floor(F.col("id") * 100 / percent), percent).alias("far"))
+        assert df.where("far - b > 1 or far < b").count() == 0
+
+
+def test_tiles_of_many_sizes(spark, monkeypatch):
+    """Texts that share a passage fall into one tile; copies of each size meet in its bands."""
+    monkeypatch.setattr(jaccard, "SQUARE", 3)
+    rng, rows = random.Random(8), []
+    passage = [f"p{i}" for i in range(12)]
+    for size in (4, 6, 9, 14, 22, 35, 60, 100):
+        for _ in range(4):
+            own = [f"v{rng.randrange(10**6)}" for _ in range(size)]
+            for _ in range(rng.randrange(1, 4)):
+                rows.append((len(rows), " ".join(passage + own + [f"end{rng.randrange(10**6)}"] * rng.randrange(0, 3))))
+    got = sorted(tuple(r) for r in jaccard.shingle_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(brute(rows))
+
+
 def test_empty_table(spark):
     assert jaccard.shingle_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

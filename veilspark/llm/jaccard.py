@@ -9,13 +9,16 @@
    many that two linked sets must announce a common one; the classes below such a
    shingle form a tile.
 4. Each class is first compared with the smallest class of its tiles.  What these
-   links join is not compared again: tiles that still hold several components are
-   cut into size-banded squares, where bit counts of hashed bitmaps bound the
-   overlap from above, and what remains is intersected exactly.
+   links join is not compared again.  A large tile that still holds several components
+   is cut into bands of set sizes, so wide that sets which link are in one band or in
+   two neighbouring ones; only such bands meet, in squares of a bounded side.  There
+   bit counts of hashed bitmaps bound the overlap from above, and what remains is
+   intersected exactly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -237,23 +240,68 @@ def _verify(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "n_a", "n_b", "items_a", "items_b").mapInArrow(run, "a long, b long")
 
 
+SQUARE_KEY = ["token", "low", "high", "i", "j"]
+
+
+def band(n: Column, percent: int) -> Column:
+    """A number for each set size; sets that link have the same or neighbouring numbers."""
+    # a little wider than the largest ratio of sizes, so that rounding moves no set two bands away
+    return F.floor(F.log(n) / F.lit(math.log(100 / percent) * 1.0001)) if percent < 100 else n
+
+
+def _squares(tiles: DataFrame, percent: int) -> DataFrame:
+    """Rows of ``tiles(token, tile_size, rep, n, root)``, once for each square of their tile they belong to.
+
+    Tiles of one component are left out.  A tile's cells are few: one for each band.  A large tile is
+    spread over as many keys as its size asks for before it meets them.
+    """
+    spread = F.ceil(F.col("tile_size") / SQUARE)
+    rows = tiles.withColumn("band", F.when(F.col("tile_size") > SQUARE, band(F.col("n"), percent)).otherwise(F.lit(0)).cast("long"))
+    cells = rows.groupBy("token", "tile_size", "band").agg(
+        F.ceil(F.count(F.lit(1)) / SQUARE).alias("blocks"), F.min("root").alias("least"), F.max("root").alias("most"))
+    mixed = cells.groupBy("token", "tile_size").agg(
+        F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("cells"),
+        F.min("least").alias("least"), F.max("most").alias("most")).where("least < most")
+    mixed = mixed.select("token", "cells", F.explode(F.sequence(F.lit(0), spread - 1)).alias("salt"))
+
+    def blocks(at: Column) -> Column:
+        return F.coalesce(F.try_element_at("cells", at), F.lit(0)).cast("long")
+
+    def others(count: Column, square) -> Column:
+        return F.transform(F.filter(F.sequence(F.lit(-1).cast("long"), count - 1), lambda o: o >= 0), square)
+
+    def square(low: Column, high: Column, i: Column, j: Column) -> Column:
+        return F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"))
+
+    here, block, one = F.col("band"), F.col("block"), F.lit(1).cast("long")
+    squares = F.concat(
+        others(blocks(here), lambda o: square(here, here, F.least(block, o), F.greatest(block, o))),
+        others(blocks(here + one), lambda o: square(here, here + one, block, o)),
+        others(blocks(here - one), lambda o: square(here - one, here, o, block)))
+    met = rows.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "rep"), spread)).join(mixed, ["token", "salt"])
+    met = met.withColumn("block", F.pmod(F.xxhash64("rep"), blocks(here)))
+    return met.select("token", "rep", "n", "root", "band", "block", F.explode(squares).alias("square")).select(
+        "token", "square.*", "band", "block", "rep", "n", "root")
+
+
 def _square(percent: int):
     """Pairs of one square that are not yet joined and whose bitmaps allow a link."""
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, ["token", "i", "j"]):
+        for table in runs(batches, SQUARE_KEY):
             if table.num_rows < 2:
                 continue
-            rep, n, size, root, block = (np.asarray(table.column(c)) for c in ("rep", "n", "size", "root", "block"))
+            rep, n, size, root, band, block = (np.asarray(table.column(c)) for c in ("rep", "n", "size", "root", "band", "block"))
             bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), "<u8").reshape(-1, BITMAP)
-            i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-            first = np.flatnonzero(block == i)
-            second = first if i == j else np.flatnonzero(block == j)
+            low, high, i, j = (table.column(c)[0].as_py() for c in SQUARE_KEY[1:])
+            alone = (low, i) == (high, j)
+            first = np.flatnonzero((band == low) & (block == i))
+            second = first if alone else np.flatnonzero((band == high) & (block == j))
             found = []
             for at in range(0, len(first), 64):
                 x = first[at:at + 64]
                 near = (100 * n[x, None] >= percent * n[None, second]) & (100 * n[None, second] >= percent * n[x, None])
                 near &= root[x, None] != root[None, second]
-                if i == j:
+                if alone:
                     near &= x[:, None] < second[None, :]
                 a, b = np.nonzero(near)
                 a, b = x[a], second[b]
@@ -283,7 +331,8 @@ def shingle_groups(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Dat
     sequence is one; a null text or one without words has none and links with nothing.
     Two rows link if the intersection is at least *percent* (above 0) of the union.
     ``component_id`` is the smallest ``doc_id`` reachable by links.  A row with a null
-    id links with nothing and has no component; rows that repeat an id share one.
+    id links with nothing and has no component; rows that repeat an id share one, also
+    where their texts differ or have no words.
     Other columns are dropped; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -304,7 +353,7 @@ def shingle_groups(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Dat
         F.count(F.lit(1)).alias("size"), F.min("rep").alias("least"),
         F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).where("size > 1")
     tiles = tiles.groupBy("size", "least", "who").agg(F.min("token").alias("token"))
-    placed = stage(announced.join(tiles.select("token", "least"), "token"), "tiles")
+    placed = stage(announced.join(tiles.select("token", "least", F.col("size").alias("tile_size")), "token"), "tiles")
 
     star = placed.where("rep <> least").groupBy(F.col("rep").alias("a")).agg(F.min("least").alias("b"))
     near = stage(_verify(star, classes.select("rep", "n", "items"), percent), "links")
@@ -314,24 +363,26 @@ def shingle_groups(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Dat
         return df.join(roots, df["rep"] == roots["node"], "left").withColumn("root", F.coalesce("component", "rep")).drop(
             "node", "component")
 
-    open_ = rooted(placed)
-    mixed = open_.groupBy("token").agg(
-        F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    blocks: Column = F.ceil(F.col("tile_size") / SQUARE)
-    squares = open_.join(mixed.select("token", F.col("size").alias("tile_size")), "token").withColumn("blocks", blocks)
-    squares = squares.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "token", "rep", "n", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     signed = classes.select("rep", "items").mapInArrow(_bitmaps, "rep long, size long, bits binary")
     candidates = (
-        squares.join(signed, "rep").repartition(shards, "token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "rep")
-        .select("token", "i", "j", "block", "rep", "n", "size", "root", "bits")
+        _squares(rooted(placed), percent).join(signed, "rep").repartition(shards, *SQUARE_KEY)
+        .sortWithinPartitions(*SQUARE_KEY, "n", "rep").select(*SQUARE_KEY, "band", "block", "rep", "n", "size", "root", "bits")
         .mapInArrow(_square(percent), "a long, b long").distinct())
     more = _verify(candidates, classes.select("rep", "n", "items"), percent)
-    joined = components(stage(near.union(more), "links"))
+    # rows that repeat an id are one document, whatever their texts
+    several = stage(
+        sets.where("doc_id is not null").groupBy("doc_id").agg(
+            *(f(c).alias(f"{f.__name__}_{c}") for c in ("d1", "d2", "n") for f in (F.min, F.max)))
+        .where("min_d1 <> max_d1 or min_d2 <> max_d2 or min_n <> max_n").select("doc_id"), "several")
+    named = members.join(several, "doc_id").join(classes.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"]).select(
+        F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    joined = components(stage(near.union(more).union(named), "links"))
 
     names = classes.select("d1", "d2", "n", "rep").join(joined, F.col("rep") == F.col("node"), "left").select(
         F.col("d1"), F.col("d2"), F.col("n"), F.coalesce("component", "rep").alias("found"))
     rest = sets.select("doc_id", "n", "d1", "d2", F.col("items").isNotNull().alias("linked"))
     out = rest.where("linked").join(names, ["d1", "d2", "n"]).select("doc_id", "n", "found")
-    return out.union(rest.where("not linked").select("doc_id", "n", "doc_id")).toDF("doc_id", "n_shingles", "component_id")
+    alone = rest.where("not linked and doc_id is not null").join(
+        several.join(joined, F.col("doc_id") == F.col("node")).select("doc_id", F.col("component").alias("found")), "doc_id", "left")
+    out = out.union(alone.select("doc_id", "n", F.coalesce("found", "doc_id")))
+    return out.union(rest.where("doc_id is null").select("doc_id", "n", "doc_id")).toDF("doc_id", "n_shingles", "component_id")
