@@ -59,6 +59,7 @@ def test_leaks(spark):
     rows += [(900, None, 1.0), (901, "", 1.0), (902, " | . ", 1.0), (None, items[0][1], 1.0), (903, "x " * 50_000 + items[1][1], 1.0),
              (903, "x " * 50_000 + items[1][1], 1.0)]
     want |= {(None, items[0][0]), (903, items[1][0])}
+    want |= {(i, 5001) for i, t, _ in rows if " of the " in " ".join(["", *(w.strip(dc.EDGES) for w in (t or "").lower().split()), ""])}
     docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
     benchmark = spark.createDataFrame([*items, (5000, None), (5001, "of the"), (5002, "")], "item_id long, text string")
     got = dc.contaminated(docs, benchmark).collect()
@@ -68,6 +69,24 @@ def test_leaks(spark):
     assert dc.contaminated(docs.limit(0), benchmark).count() == 0
 
 
+def test_short_items(spark):
+    """Items of fewer than five words: whole sequences, exact, within one text."""
+    texts = ["the quick (Brown) fox.", "quick the brown fox", "brown fox", "fox jumps", "The quick brown", "quick brown fox jumps high",
+             None, "", "fox", "so it was: fox", "fox", "brown - fox"]
+    docs = spark.createDataFrame([(k % 10 if k != 3 else None, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, item_id int")
+    items = {1: "Fox", 2: "brown fox", 3: "quick brown fox", 4: "the quick brown fox", 5: " . ", 6: "", 7: "quick brown fox jumps high"}
+    benchmark = spark.createDataFrame([*items.items(), (8, None)], "item_id long, text string")
+    plain = lambda t: [w for w in (x.strip(dc.EDGES) for x in (t or "").lower().split()) if w]
+    want = {}
+    for i, t, _ in docs.collect():
+        for k, item in items.items():
+            a, b = plain(item), plain(t)
+            if a and (score := direct_score(a, b)) >= (1 if len(a) < 5 else 0.5):
+                want[i, k] = max(score, want.get((i, k), 0))
+    got = dc.contaminated(docs, benchmark).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == want and len(got) == len(want)
+
+
 def test_leaks_of_common_items(spark):
     """An item whose words are all common is found without its rarest words."""
     item = [f"word{i}" for i in range(20)]

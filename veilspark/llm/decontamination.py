@@ -5,6 +5,7 @@ meeting names a stretch of the document, and a Smith-Waterman alignment of the i
 with that stretch gives the score.  An item's most common pairs are left out, but
 only so many that every alignment that reaches the threshold still holds one of the
 others: how common an item became decides what the search costs, not what it finds.
+Items of a few words are looked up as whole sequences, and only exact copies count.
 Documents are never shuffled.
 """
 
@@ -40,9 +41,10 @@ class Items:
 
     def __init__(self, ids: list, texts: list[str | None], least_words: int):
         offsets, tokens = plain_words(pa.array(texts, pa.string()))
-        long = np.flatnonzero(np.diff(offsets) >= least_words)
-        self.ids = [ids[i] for i in long]
-        self.words = [tokens[offsets[i]:offsets[i + 1]] for i in long]
+        worded = np.flatnonzero(np.diff(offsets) > 0)
+        self.ids = [ids[i] for i in worded]
+        self.words = [tokens[offsets[i]:offsets[i + 1]] for i in worded]
+        self.least_words = least_words
         self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint64)
         self.seeds = np.zeros(0, np.uint64)
 
@@ -52,12 +54,15 @@ class Items:
         A score of *least* words needs that many more matches than edits, and matches lie in one run more
         than there are edits at most: *least* - 1 word pairs of the item are whole in the alignment.  All
         but *least* - 2 of its pairs are seeds, so one of them is met.  Where that needs no pair, single
-        words are taken, of which *least* match.
+        words are taken, of which *least* match.  An item of fewer than *least_words* words is one seed.
         """
         seed, item, place, grams = [], [], [], []
         self.size = np.array([len(w) for w in self.words], np.int64)
-        least = np.maximum(1, np.ceil(threshold * self.size - 1e-9).astype(np.int64))
-        self.width = np.where(least > 1, 2, 1)
+        short = self.size < self.least_words
+        #: The score from which an alignment counts.
+        self.threshold = np.where(short, 1.0, threshold)
+        least = np.maximum(1, np.ceil(self.threshold * self.size - 1e-9).astype(np.int64))
+        self.width = np.where(short, self.size, np.where(least > 1, 2, 1))
         self.need = least - self.width + 1
         #: An alignment reaches no farther than its edits beyond the item's place beside one of its matches.
         self.reach = np.maximum(self.size - least, 0) + 2
@@ -161,7 +166,7 @@ def align(items: list[np.ndarray], stretches: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _leaks(texts: pa.Array, items: Items, threshold: float) -> list[list[dict]]:
+def _leaks(texts: pa.Array, items: Items) -> list[list[dict]]:
     offsets, tokens = plain_words(texts)
     found: list[list[dict]] = [[] for _ in range(len(texts))]
     text, item, diagonal = items.hits(offsets, tokens)
@@ -181,7 +186,7 @@ def _leaks(texts: pa.Array, items: Items, threshold: float) -> list[list[dict]]:
         part = stretches[start:start + 4096]
         scores = align([items.words[k] for _, k, _, _ in part], [tokens[a:b] for _, _, a, b in part])
         for (t, k, a, b), score in zip(part, scores):
-            if score >= threshold:
+            if score >= items.threshold[k]:
                 found[t].append({"item_id": items.ids[k], "score": float(score), "first_word": a - int(offsets[t]), "words": b - a})
     return found
 
@@ -217,8 +222,9 @@ def leaks(
     Each entry has the alignment's score (1: every word in order; at least *threshold*),
     and the stretch of the text, in words without bare punctuation.  Every text that
     reaches *threshold* is found, however common the item's words are.  An item found in
-    several places appears for each.  A null or empty text has none.  Items of fewer than
-    *least_words* words or without text are not searched: they meet by chance.
+    several places appears for each.  A null or empty text has none.  Of items of
+    fewer than *least_words* words only exact copies are found, the whole sequence in order:
+    edited ones would meet by chance.  Items without words are found nowhere.
 
     Tasks get all items as arrays, *words_at_once* words of them at most; a larger
     benchmark is searched in that many turns within one pass.  Counting the words of
@@ -243,7 +249,7 @@ def leaks(
         for piece in words.slices([pa.RecordBatch.from_arrays([texts], names=["text"])], "text"):
             found: list[list[dict]] = [[] for _ in range(piece.num_rows)]
             for group in groups:
-                for all_, more in zip(found, _leaks(piece.column("text"), group.value, threshold)):
+                for all_, more in zip(found, _leaks(piece.column("text"), group.value)):
                     all_ += more
             out += found
         entry = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("words", pa.int64())])
