@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm import decontamination, jaccard, language, mixing, queries, token_ids
-from veilspark.plans.staging import shared_folder
+from veilspark.plans.staging import shared_folder, stage
 
 #: A text whose best language gets less than this is rejected like one without letters.
 LEAST_SCORE = 0.3
@@ -27,17 +27,33 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group; equal rows that repeat an id stay once."""
-    groups = jaccard.shingle_groups(docs)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    single = docs.join(gone.union(again).distinct(), "doc_id", "left_anti")
-    repeated = docs.join(again, "doc_id", "left_semi").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
-    return single.select(docs.columns).union(repeated.select(docs.columns))
+    """Keep one row of each group of near copies; rows are told apart, not ids.
+
+    The row with the smallest id stays, among ids that occur once; a group without such an id keeps one of
+    its other rows.  Rows whose id is null or repeats get numbers of their own first, so that none goes for
+    its namesake.  Rows without words are nobody's copy.  An empty table stays empty.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    loose_ids = stage(ids.where("doc_id is null or n > 1").select("doc_id"), "loose-ids")
+    single = docs.join(loose_ids, docs["doc_id"] == loose_ids["doc_id"], "left_anti").where(docs["doc_id"].isNotNull())
+    loose = docs.join(loose_ids, docs["doc_id"].eqNullSafe(loose_ids["doc_id"]), "left_semi")
+    loose = stage(loose.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "loose")
+    ends = docs.agg(F.min("doc_id").cast("long").alias("low"), F.max("doc_id").cast("long").alias("high")).first()
+    # numbers stay below 2^62; they go where the ids leave room
+    after = (ends.high or 0) < 1 << 62
+    key = (F.lit((ends.high or 0) + 1) + F.col("number")) if after else (F.lit(ends.low - 1) - F.col("number"))
+    loose = loose.select("row", key.alias("key"))
+    keyed = single.select(F.col("doc_id").cast("long").alias("doc_id"), "text").union(loose.select("key", "row.text"))
+    gone = stage(jaccard.shingle_groups(keyed).where("component_id <> doc_id").select(F.col("doc_id").alias("key")), "gone")
+    kept = single.join(gone, single["doc_id"] == gone["key"], "left_anti")
+    return kept.union(loose.join(gone, "key", "left_anti").select("row.*"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents without a benchmark item, copied or edited."""
+    """Keep documents without a benchmark item, copied or edited; of items of a few words only copies count.
+
+    Rows are judged one by one: null ids and repeated rows are rows like others, a null or empty text has no leak.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows = docs.select(F.struct("*").alias("row"), decontamination.leaks(docs, benchmark).alias("leaks"))
     return rows.where(F.size("leaks") == 0).select("row.*")
