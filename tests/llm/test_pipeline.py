@@ -60,6 +60,43 @@ def test_pipeline(spark):
     assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == want
 
 
+A, B = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen fifteen"
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, row string, found int, key long, number int, doc string"
+
+
+def rows_of(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", 1, "r", 2, k, 3, "d") for k, (i, t) in enumerate(rows)], CLASHING)
+
+
+def test_near_duplicates_by_row(spark):
+    """Repeated and null ids: no text goes for its namesake, none stays twice."""
+    rows = [(5, A), (5, B), (3, B), (None, A + " x"), (None, A + " x"), (None, None), (7, ""), (7, ""), (2, "alone here"), (2, "other text")]
+    docs = rows_of(spark, rows)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    got = got.collect()
+    texts = sorted((r.text or "") for r in got)
+    near = [t for t in texts if t.startswith("one two")]
+    assert len(near) == 1 and {r.doc_id for r in got if r.text == B} == {3}  # 4 of 5 shingles are shared: a link
+    assert texts.count(B) == 1 and texts.count("") == 3 and "alone here" in texts and "other text" in texts
+    assert len(got) == len({r.key for r in got})
+    again = corpus_pipeline.drop_near_duplicates(spark, rows_of(spark, [(1 << 62, A), (1 << 62, B), (None, B), (-4, A)]), SF).collect()
+    assert sorted(r.text for r in again) == sorted([A, B])
+
+
+def test_stages_on_odd_tables(spark):
+    """Every stage takes an empty table, and one with null ids, repeated rows and clashing names."""
+    french = "le chat est sur la table et il mange le pain de la maison avec les enfants"
+    odd = rows_of(spark, [(None, french), (4, french + " un"), (4, french + " un"), (4, None), (9, "")])
+    for docs in (odd.limit(0), odd):
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            got = stage(spark, docs, SF)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert got.columns == docs.columns
+            n = got.count()
+            assert n == 0 if docs is not odd else n > 0
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 50
 
