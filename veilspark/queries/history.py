@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import finding_id
 from ..operators.collapse import collapse, keep_last
 from ..plans import history
-from ..plans.staging import shared_folder
+from ..plans.staging import shared_folder, stage
 from .common import table
 from .counting import _FINDINGS, _HITS, _by_priority, _case, order_hits
 
@@ -70,24 +70,6 @@ def _states(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _purge_scan(spark: SparkSession, d: str) -> DataFrame:
-    """What is left once the latest scan is gone."""
-    found, scans = _findings(spark, d), _scans(spark, d)
-    gone = history.latest_scan(scans)
-    left = found.join(F.broadcast(gone), "scan_id", "left_anti")
-    lost = history.orphans(history.latest_triage(_log(spark, d)), left)
-    return left.select("scan_id", "finding_id", F.lit("finding").alias("what")).unionByName(
-        lost.select(F.lit(0).cast("bigint").alias("scan_id"), "finding_id", F.lit("orphan").alias("what"))
-    )
-
-
-def _purge_person(spark: SparkSession, d: str) -> DataFrame:
-    """What is left once one person's findings are gone."""
-    return _findings(spark, d).where(F.col("employee") != "e7").groupBy("scan_id", "employee").agg(
-        F.count("*").alias("findings")
-    )
-
-
 def _keep_last(spark: SparkSession, d: str) -> DataFrame:
     """Repeats under one id: the last in rank order is kept."""
     found = order_hits(spark, d).withColumn("finding_id", finding_id(F.col("employee"), F.lit("r"), F.col("value")))
@@ -111,11 +93,10 @@ def _store(spark: SparkSession, d: str) -> history.History:
         return rows.select(*[
             (F.col(name) if name in rows.columns else F.lit(None)).cast(kind).alias(name) for name, kind in fields])
 
-    root = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
-    shaped(_scans(spark, d), history.SCANS).write.parquet(f"{root}/scans")
-    shaped(_findings(spark, d), history.FINDINGS).repartition("scan_id").write.partitionBy("scan_id").parquet(f"{root}/findings")
-    shaped(_log(spark, d), history.TRIAGE_LOG).write.parquet(f"{root}/triage_log")
-    return history.History(spark, root)
+    store = history.History(spark, f"{shared_folder(spark)}/history-{uuid.uuid4().hex}")
+    store.add_scans(shaped(_scans(spark, d), history.SCANS), shaped(_findings(spark, d), history.FINDINGS))
+    store.add_triage(shaped(_log(spark, d), history.TRIAGE_LOG))
+    return store
 
 
 def _left(store: history.History) -> DataFrame:
@@ -140,7 +121,44 @@ def _store_without_person(spark: SparkSession, d: str) -> DataFrame:
     return _left(store)
 
 
+def _purge_scan(spark: SparkSession, d: str) -> DataFrame:
+    """What is left once the latest scan is gone."""
+    store = _store(spark, d)
+    store.purge(scan_id=store.latest_scan_id())
+    left = store.all_findings()
+    lost = history.orphans(history.latest_triage(_log(spark, d)), store.triage())
+    return left.select("scan_id", "finding_id", F.lit("finding").alias("what")).unionByName(
+        lost.select(F.lit(0).cast("bigint").alias("scan_id"), "finding_id", F.lit("orphan").alias("what"))
+    )
+
+
+def _purge_person(spark: SparkSession, d: str) -> DataFrame:
+    """What is left once one person's findings are gone."""
+    store = _store(spark, d)
+    store.purge(employee="e7")
+    return store.all_findings().groupBy("scan_id", "employee").agg(F.count("*").alias("findings"))
+
+
+def _kept_trend(spark: SparkSession, d: str) -> DataFrame:
+    """The trend by the counts a store keeps, before any purge and after two."""
+    store = _store(spark, d)
+    before = store.trend().withColumn("at", F.lit("before"))
+    before = stage(before, "trend")
+    store.purge(employee="e7")
+    store.purge(scan_id=1003)
+    return before.unionByName(store.trend().withColumn("at", F.lit("after")))
+
+
+def _kept_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of each scan by the counts a store keeps, after a person is purged."""
+    store = _store(spark, d)
+    store.purge(employee="e7")
+    return store.scan_list().select("scan_id", "finished_at", "findings")
+
+
 QUERIES = {
+    "kept_trend": _kept_trend,
+    "kept_counts": _kept_counts,
     "scan_counts": lambda s, d: history.scans_with_counts(_scans(s, d), _findings(s, d)),
     "severity_trend": lambda s, d: history.trend(_scans(s, d), _findings(s, d)),
     "trend_shares": lambda s, d: history.trend_shares(history.trend(_scans(s, d), _findings(s, d))).select("scan_id", "total", "share"),
@@ -173,11 +191,18 @@ _LOG = """
 _T = f"""SELECT finding_id, state, note FROM (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY "at" DESC, entry DESC) AS n
          FROM ({_LOG})) WHERE n = 1"""
 _RANK_UP = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
-_TREND = f"""
+
+def _trend_sql(where: str = "true") -> str:
+    return f"""
     SELECT scan_id, 'at ' || CAST(scan_id AS varchar) AS finished_at, count(severity) AS total,
            count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high,
            count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low
-    FROM ({_SCANS}) LEFT JOIN ({_F}) USING (scan_id) GROUP BY scan_id"""
+    FROM ({_SCANS}) LEFT JOIN (SELECT * FROM ({_F}) WHERE {where}) USING (scan_id) GROUP BY scan_id"""
+
+
+_TREND = _trend_sql()
+_NOT_E7 = "employee <> 'e7'"
+
 
 def _left_sql(scans: str, kept: str) -> str:
     return f"""
@@ -190,6 +215,10 @@ def _left_sql(scans: str, kept: str) -> str:
 _LAST = f"scan_id <> (SELECT max(scan_id) FROM ({_F}))"
 
 SQL = {
+    "kept_trend": f"""
+        SELECT *, 'before' AS "at" FROM ({_TREND}) UNION ALL
+        SELECT *, 'after' AS "at" FROM ({_trend_sql(_NOT_E7)}) WHERE scan_id <> 1003""",
+    "kept_counts": f"SELECT scan_id, finished_at, total AS findings FROM ({_trend_sql(_NOT_E7)})",
     "store_without_scan": _left_sql(_LAST, _LAST),
     "store_without_person": _left_sql("true", "employee <> 'e7'"),
     "scan_counts": f"""
