@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import finding_id
@@ -51,10 +51,14 @@ def people_table(everyone: DataFrame, findings: DataFrame) -> DataFrame:
     return (
         everyone.join(counts, "employee", "left").fillna(0)
         .withColumn("clean", F.col("findings") == 0)
-        .orderBy(F.col("findings").desc(), "employee")
+        .orderBy(*people_order())
     )
 
 
+def people_order() -> list[Column]:
+    return [F.col("findings").desc(), F.col("employee").asc()]
+
+
 def clean_people(everyone: DataFrame, findings: DataFrame) -> DataFrame:
     """People without a single finding."""
     return everyone.join(findings.select("employee").distinct(), "employee", "left_anti")
@@ -101,12 +105,17 @@ def survey(records: DataFrame, files: DataFrame | None = None) -> DataFrame:
     )
 
 
+def survey_columns() -> list[Column]:
+    position = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("label"))
+    return [
+        F.col("dimension").asc(), F.when(F.col("dimension") == "kind", position).otherwise(F.lit(0)).asc(),
+        F.col("label").asc(),
+    ]
+
+
 def survey_order(table: DataFrame) -> DataFrame:
     """Kinds in their own order, everything else by name."""
-    position = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("label"))
-    return table.orderBy(
-        "dimension", F.when(F.col("dimension") == "kind", position).otherwise(F.lit(0)), "label"
-    )
+    return table.orderBy(*survey_columns())
 
 
 def report_findings(findings: DataFrame, *, reveal: bool = False) -> DataFrame:

@@ -77,10 +77,15 @@ def with_state(findings: DataFrame, triage: DataFrame) -> DataFrame:
     )
 
 
+def worst_order() -> list[Column]:
+    return [
+        severity_rank(F.col("severity")).asc(), F.col("confidence").desc(), F.col("employee").asc(),
+        F.col("finding_id").asc(),
+    ]
+
+
 def worst_first(findings: DataFrame) -> DataFrame:
-    return findings.orderBy(
-        severity_rank(F.col("severity")), F.col("confidence").desc(), "employee", "finding_id"
-    )
+    return findings.orderBy(*worst_order())
 
 
 def scans_with_counts(scans: DataFrame, findings: DataFrame) -> DataFrame:
@@ -321,11 +326,14 @@ class History:
         taken = sorted(n for n in numbers if n < base.next_scan)
         if taken:
             raise ValueError(f"scan numbers given out before: {taken[:5]}")
-        findings.join(F.broadcast(scans.select("scan_id").distinct()), "scan_id", "left_semi").select(
-            *_names(FINDINGS)).write.partitionBy("scan_id").parquet(f"{self.root}/findings/{version}")
+        kept = findings.join(F.broadcast(scans.select("scan_id").distinct()), "scan_id", "left_semi").select(*_names(FINDINGS))
+        if len(numbers) > 1:
+            # a scan's rows meet in few files; large scans are still cut
+            kept = kept.hint("rebalance", "scan_id")
+        kept.write.partitionBy("scan_id").parquet(f"{self.root}/findings/{version}")
         found = self._held("findings", version)
         by_person = self._parts("findings", found, FINDINGS).groupBy("scan_id", "employee").agg(*severity_counts())
-        by_person.select(*_names(PEOPLE)).write.partitionBy("scan_id").parquet(f"{self.root}/people/{version}")
+        by_person.select(*_names(PEOPLE)).hint("rebalance", "scan_id").write.partitionBy("scan_id").parquet(f"{self.root}/people/{version}")
         people = self._held("people", version)
         sums = self._parts("people", people, PEOPLE).groupBy("scan_id").agg(*[F.sum(c).alias(c) for c in COUNTS])
         rows = scans.join(F.broadcast(sums), "scan_id", "left").fillna(0, list(COUNTS)).select(*_names(COUNTED))

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counting, detection, history, parsing, scalars, scoring, shapes, streams
+from . import counting, detection, history, parsing, ranks, scalars, scoring, shapes, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_AREAS = (scalars, parsing, detection, shapes, counting, history, scoring, streams)
+_AREAS = (scalars, parsing, detection, shapes, counting, history, ranks, scoring, streams)
 
 
 def queries() -> dict[str, Query]:
