@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ..operators import score
 from ..operators.collapse import collapse
 from ..operators.detect import hits
-from ..plans import transcripts
+from ..plans import transcript_files, transcripts
 from ..plans.staging import shared_folder, stage
 from ..rules.model import load_rules
 from ..sources.tables import document_records
+from ..sources.transcripts import read_transcripts
+from ..sources.writing import write_files
 from ..streaming.incremental import current_findings, scan_stream
 from .common import quoted, table
 from .detection import CARD, SQL as _DETECTION_SQL
@@ -99,7 +101,27 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _files_scored(spark: SparkSession, d: str) -> DataFrame:
+    """Files written in all three formats, read back and scored by the places they were written to; people who
+    leaked nothing are listed by how many of them have findings."""
+    root = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+    planted = transcript_files.transcript_files(_keys(spark, d))
+    write_files(planted.unionByName(transcript_files.control_files(_controls(spark, d))), root)
+    read = read_transcripts(spark, root)
+    found = stage(collapse(hits(read.records)), "scored")
+    plants = transcript_files.file_plants(planted.drop("content"))
+    marked = score.scored(plants, score.assignments(plants, found))
+    by_format = marked.groupBy("format", "category").agg(
+        F.sum(F.col("hit").cast("int")).alias("hits"), F.count("*").alias("plants"))
+    clean = score.control_verdict(read.files.select("employee").distinct(), found).where(
+        F.col("employee").startswith("control")).select(
+        F.lit("control").alias("format"), F.col("verdict").alias("category"), F.lit(0).cast("bigint").alias("hits"))
+    return by_format.unionByName(clean.groupBy("format", "category").agg(
+        F.sum("hits").alias("hits"), F.count("*").alias("plants")))
+
+
 QUERIES = {
+    "score_files": _files_scored,
     "score_recall": _recall,
     "score_missed": _missed,
     "score_unlabelled": _unlabelled,
@@ -120,6 +142,12 @@ _LABELS = " UNION ALL ".join(
 _DEBTORS = "(SELECT count(*) FROM customer WHERE c_acctbal < 0)"
 
 SQL = {
+    "score_files": f"""
+        WITH f AS (SELECT (['session_log', 'account_export', 'plain_text'])[CAST(c_custkey % 3 + 1 AS int)] AS format, count(*) AS files
+                   FROM customer GROUP BY 1)
+        SELECT format, category, CAST(files * n AS bigint) AS hits, CAST(files * n AS bigint) AS plants
+        FROM f, (VALUES {", ".join(f"({quoted(c)}, {n})" for c, n in sorted(_PER_CATEGORY.items()))}) AS c (category, n)
+        UNION ALL SELECT 'control', 'PASS', 0, count(*) FROM supplier""",
     "score_recall": f"""
         WITH c AS (SELECT category, hits, hits + CASE category WHEN 'commercial' THEN {_DEBTORS} ELSE 0 END AS plants FROM ({_LABELS}))
         SELECT category, hits, plants, hits / plants AS recall FROM c
