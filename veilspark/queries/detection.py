@@ -9,6 +9,7 @@ from ..functions.text import redact
 from ..operators.collapse import collapse, ranked
 from ..operators.detect import BULK, hits, surviving, suppressions
 from ..operators.sanitise import sanitise
+from ..operators.terms import term_matches
 from ..plans.scan import findings
 from ..plans.transcripts import PERSONAL, TEMPLATES, keyed, single_finding_records
 from ..rules.model import RuleSet, load_rules, with_terms
@@ -170,6 +171,18 @@ def _terms(spark: SparkSession, d: str) -> DataFrame:
     return surviving(hits(lines, rules, shapes=False)).select("employee", "location", "start", "value")
 
 
+def _many_terms(spark: SparkSession, d: str) -> DataFrame:
+    """As many terms as there are parts, looked for in a line for each item sold."""
+    terms = table(spark, d, "part").select(F.concat(F.lit("Lot "), F.col("p_partkey").cast("string")).alias("term"))
+    part, supplier = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
+    lines = records(
+        table(spark, d, "lineitem"), employee=F.lit("e"), session_id=F.lit("s"), kind=F.lit("user_message"),
+        text=F.concat(F.lit("sent lot "), part, F.lit(" with LOT-"), supplier, F.lit(", lot "), part, F.lit("x or lot "), supplier),
+        file=F.col("l_orderkey").cast("string"), record_index=F.col("l_linenumber"),
+    )
+    return term_matches(lines, terms).select("location", "start", "value")
+
+
 # -- snippets ----------------------------------------------------------------
 
 SNIPPET_RULES = (
@@ -247,6 +260,7 @@ QUERIES = {
     "gate_order": _gate_order,
     "value_group": _value_group,
     "customer_terms": _terms,
+    "many_terms": _many_terms,
     "masked_snippets": _snippets,
     "sanitise_snippets": _sanitise,
     "bulk_personal": _bulk,
@@ -314,6 +328,12 @@ SQL = {
     "customer_terms": """
         SELECT p_brand AS employee, 'f#' || CAST(p_partkey AS varchar) || '.0' AS location, 9 AS start,
                lower(p_type) AS value FROM part""",
+    "many_terms": """
+        WITH l AS (SELECT CAST(l_orderkey AS varchar) || '#' || CAST(l_linenumber AS varchar) || '.0' AS location,
+                          CAST(l_partkey AS varchar) AS part, CAST(l_suppkey AS varchar) AS sup, l_partkey, l_suppkey FROM lineitem)
+        SELECT location, 5 AS start, 'lot ' || part AS value FROM l WHERE l_partkey IN (SELECT p_partkey FROM part)
+        UNION ALL SELECT location, 5 + 2 * (4 + length(part)) + length(' with LOT-, x or ') + length(sup), 'lot ' || sup
+        FROM l WHERE l_suppkey IN (SELECT p_partkey FROM part)""",
     "masked_snippets": f"""
         WITH t AS (SELECT 'f#' || CAST(c_custkey AS varchar) || '.0' AS location, md5(c_name) AS tag, {_N4} AS n FROM customer)
         SELECT location, 'custom.a.v1' AS rule_id, 36 AS start,
