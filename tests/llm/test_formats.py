@@ -104,6 +104,18 @@ def test_encoder_equals_tokenizer():
         assert ids[bounds[i]:bounds[i + 1]].tolist() == [*full.encode(text or "", add_special_tokens=False).ids, 2]
 
 
+def test_words_in_use_are_not_forgotten(monkeypatch):
+    """A word seen again and again is encoded once, however many others come between."""
+    coder, pieces = token_ids.Encoder(VOCABULARY, remember=8), []
+    monkeypatch.setattr(coder, "_piece", lambda piece, old=coder._piece: pieces.append(piece) or old(piece))
+    for n in range(60):
+        coder.word("often")
+        coder.word("x" + "abcdefghij"[n // 10] + "abcdefghij"[n % 10])
+    assert pieces.count("often") == 1 and len(coder.known) <= 8 >= len(coder.earlier)
+    for word in ("Heated$$$", "teatime%%%", "vié&&&", "Inre***", "touth###", "a$b", "x*#|)"):
+        assert coder.word(word) == np.array(coder.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_index_is_minimal_and_perfect():
     for n in (0, 1, 2, 7, 1000):
         keys = [str(k * 37).encode() for k in range(n)]

@@ -29,7 +29,7 @@ from .words import slices, split
 MAGIC = b"TOKIDX1\n"
 _HEAD = struct.Struct("<8sIIIIQ")  # magic, documents, keys, buckets, seed, ids
 SHARD = "part int, number int, documents long, tokens long, earlier long, content binary"
-_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|)]*)")
+_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|)%$&*#]*)")
 
 
 # encoding
@@ -51,37 +51,51 @@ class Encoder:
     the whole tokenizer.
     """
 
-    def __init__(self, path: str, remember: int = 1 << 18):
+    def __init__(self, path: str, remember: int = 1 << 19):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.remember, self.known = remember, {}
+        self.remember, self.known, self.earlier = remember, {}, {}
+
+    def _recall(self, word: str) -> bytes | None:
+        """What is known of *word*; of two generations the older one is forgotten, words in use pass to the newer."""
+        found = self.known.get(word)
+        if found is None:
+            found = self.earlier.get(word)
+            if found is not None:
+                self._keep(word, found)
+        return found
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        if len(self.known) >= self.remember:
+            self.earlier, self.known = self.known, {}
+        self.known[word] = ids
 
     def _piece(self, piece: str) -> bytes:
         text = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
-        return np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+        return struct.pack(f"<{len(found := self.model.tokenize(text))}I", *[t.id for t in found])
 
     def word(self, word: str) -> bytes:
-        found = self.known.get(word)
+        found = self._recall(word)
         if found is None:
-            if len(self.known) >= self.remember:
-                self.known.clear()
             simple = _LETTERS.fullmatch(word)
             if not simple:
-                found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+                found = struct.pack(f"<{len(ids)}I", *ids)
             elif simple[2] or simple[1] != (low := simple[1].lower()):
                 found = self.word(simple[1].lower()) + (self.mark(simple[2]) if simple[2] else b"")
             else:
                 found = self._piece(low)
             if len(word) <= 64:
-                self.known[word] = found
+                self._keep(word, found)
         return found
 
     def mark(self, marks: str) -> bytes:
-        found = self.known.get(marks)
+        found = self._recall(marks)
         if found is None:
-            found = self.known[marks] = self._piece(marks)
+            found = self._piece(marks)
+            self._keep(marks, found)
         return found
 
     def texts(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -256,7 +270,7 @@ def encode_shards(
             return row
 
         held = 0
-        for piece in slices(batches, "text", 4 << 20):
+        for piece in slices(batches, "text", 8 << 20):
             bounds, flat = coder.texts(piece.column("text"), end)
             names, i = piece.column("doc_id").to_pylist(), 0
             while i < len(names):
