@@ -116,6 +116,43 @@ def test_words_in_use_are_not_forgotten(monkeypatch):
         assert coder.word(word) == np.array(coder.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_memory_of_words_is_small(monkeypatch):
+    """Workers keep their encoder after its stage: a word must not cost them hundreds of bytes."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    letters = "abcdefghijklmnopqrst"
+    words = [f"{a}{b}{c}{d}{mark}" for a in letters for b in letters for c in letters[:10] for d in letters for mark in ("u", "u,")]
+    coder, pieces = token_ids.Encoder(VOCABULARY), []
+    monkeypatch.setattr(coder, "_piece", lambda piece, old=coder._piece: pieces.append(0) or old(piece))
+    arrow, texts = pa.total_allocated_bytes(), [pa.array([" ".join(words[i::2])]) for i in range(2)]
+    tracemalloc.start()
+    try:
+        first = [coder.texts(t, 2)[1].tolist() for t in texts]
+        again, n = [coder.texts(t, 2)[1].tolist() for t in texts], len(pieces)
+        assert first == again and n <= len(words) + 1
+        del first, again
+        held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow - sum(t.nbytes for t in texts)
+    finally:
+        tracemalloc.stop()
+    assert held < 70 * len(words)
+
+
+def test_words_in_use_outlast_others(monkeypatch):
+    """Whole words: those of the last texts stay, however full the memory; the result is the tokenizer's."""
+    import pyarrow as pa
+
+    coder, asked = token_ids.Encoder(VOCABULARY, remember=8), []
+    monkeypatch.setattr(coder, "word", lambda word, old=coder.word: asked.append(word) or old(word))
+    for n in range(20):
+        text = f"Often, other{'abcdefghij'[n % 10]}x {'long' * 40} 1{n} $$ " + "y" * n
+        bounds, ids = coder.texts(pa.array([text, None]), 2)
+        assert ids.tolist() == [*coder.tokenizer.encode(text, add_special_tokens=False).ids, 2, 2] and bounds.tolist() == [0, len(ids) - 1, len(ids)]
+    assert asked.count("Often,") == 1 and asked.count("long" * 40) == 20 and len(coder.words) <= 8
+    assert coder.texts(pa.array([], pa.string()), 2)[0].tolist() == [0]
+
+
 def test_index_is_minimal_and_perfect():
     for n in (0, 1, 2, 7, 1000):
         keys = [str(k * 37).encode() for k in range(n)]

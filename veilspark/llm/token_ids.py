@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,6 +30,10 @@ from .words import slices, split
 MAGIC = b"TOKIDX1\n"
 _HEAD = struct.Struct("<8sIIIIQ")  # magic, documents, keys, buckets, seed, ids
 SHARD = "part int, number int, documents long, tokens long, earlier long, content binary"
+#: Runs of letters and marks that an encoder keeps in each of two generations.
+PARTS = 1 << 14
+#: Characters, or bytes, of the longest word that is kept.
+LONGEST = 64
 _LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|)%$&*#]*)")
 
 
@@ -49,6 +54,10 @@ class Encoder:
     words are one run of Latin letters and perhaps some punctuation, which the
     pre-tokenizer separates; those go straight to the BPE model.  All others take
     the whole tokenizer.
+
+    Words seen last are kept with their ids in Arrow arrays, *remember* at most and
+    some 40 bytes each; runs of letters and marks that new words are made of are
+    kept as objects, of which there are fewer.
     """
 
     def __init__(self, path: str, remember: int = 1 << 19):
@@ -56,63 +65,71 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.remember, self.known, self.earlier = remember, {}, {}
+        self.remember, self.parts, self.known, self.earlier = remember, min(remember, PARTS), {}, {}
+        self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
 
-    def _recall(self, word: str) -> bytes | None:
-        """What is known of *word*; of two generations the older one is forgotten, words in use pass to the newer."""
-        found = self.known.get(word)
+    def _recall(self, part: str) -> bytes | None:
+        """What is known of *part*; of two generations the older one is forgotten, parts in use pass to the newer."""
+        found = self.known.get(part)
         if found is None:
-            found = self.earlier.get(word)
+            found = self.earlier.get(part)
             if found is not None:
-                self._keep(word, found)
+                self._keep(part, found)
         return found
 
-    def _keep(self, word: str, ids: bytes) -> None:
-        if len(self.known) >= self.remember:
+    def _keep(self, part: str, ids: bytes) -> None:
+        if len(self.known) >= self.parts:
             self.earlier, self.known = self.known, {}
-        self.known[word] = ids
+        self.known[part] = ids
 
     def _piece(self, piece: str) -> bytes:
         text = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
         return struct.pack(f"<{len(found := self.model.tokenize(text))}I", *[t.id for t in found])
 
-    def word(self, word: str) -> bytes:
-        found = self._recall(word)
+    def _part(self, part: str) -> bytes:
+        found = self._recall(part)
         if found is None:
-            simple = _LETTERS.fullmatch(word)
-            if not simple:
-                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-                found = struct.pack(f"<{len(ids)}I", *ids)
-            elif simple[2] or simple[1] != (low := simple[1].lower()):
-                found = self.word(simple[1].lower()) + (self.mark(simple[2]) if simple[2] else b"")
-            else:
-                found = self._piece(low)
-            if len(word) <= 64:
-                self._keep(word, found)
+            found = self._piece(part)
+            if len(part) <= LONGEST:
+                self._keep(part, found)
         return found
 
-    def mark(self, marks: str) -> bytes:
-        found = self._recall(marks)
-        if found is None:
-            found = self._piece(marks)
-            self._keep(marks, found)
-        return found
+    def word(self, word: str) -> bytes:
+        simple = _LETTERS.fullmatch(word)
+        if not simple:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        letters = self._part(simple[1].lower())
+        return letters + self._part(simple[2]) if simple[2] else letters
+
+    def distinct(self, vocabulary: pa.Array) -> pa.Array:
+        """The ids of each of these words, which differ, as bytes."""
+        at = pc.index_in(vocabulary, value_set=self.words)
+        new = at.is_null()
+        missing = vocabulary.filter(new)
+        found = pa.array((self.word(w) for w in missing.to_pylist()), pa.large_binary(), size=len(missing))
+        at = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        used = np.zeros(len(self.words), bool)
+        new = new.to_numpy(zero_copy_only=False)
+        used[at[~new]] = True
+        at[new] = len(self.words) + np.arange(len(missing))
+        ids = pa.concat_arrays([self.ids, found]).take(pa.array(at))
+        # words in use go first, so that the others are forgotten before them
+        short = pc.less_equal(pc.binary_length(vocabulary), LONGEST)
+        first = [c.filter(short)[:self.remember] for c in (vocabulary, ids)]
+        idle = pa.array(np.flatnonzero(~used)[:self.remember - len(first[0])])
+        self.words, self.ids = (pa.concat_arrays([c, old.take(idle)]) for c, old in zip(first, (self.words, self.ids)))
+        return ids
 
     def texts(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """``(offsets, ids)`` of all texts, each closed by *end*; a null text is empty."""
         offsets, codes, vocabulary = split(texts, lower=False)
-        pieces = [self.word(w) for w in vocabulary.to_pylist()]
-        pieces.append(struct.pack("<I", end))
-        flat = np.frombuffer(b"".join(pieces), "<u4")
-        sizes = np.fromiter((len(p) // 4 for p in pieces), np.int64, len(pieces))
-        starts = np.cumsum(sizes) - sizes
-        n = len(offsets) - 1
+        pieces = pa.concat_arrays([self.distinct(vocabulary), pa.array([struct.pack("<I", end)], pa.large_binary())])
         closed = np.insert(codes, offsets[1:], len(pieces) - 1)
-        lengths = sizes[closed]
-        ends = np.cumsum(lengths)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[closed] - (ends - lengths), lengths)
-        bounds = np.concatenate(([0], ends))[np.concatenate(([0], offsets[1:] + np.arange(1, n + 1)))]
-        return bounds, flat[at]
+        _, ends, flat = pieces.take(pa.array(closed)).buffers()
+        n = len(offsets) - 1
+        bounds = np.frombuffer(ends, np.int64)[np.concatenate(([0], offsets[1:] + np.arange(1, n + 1)))] // 4
+        return bounds, np.frombuffer(flat, "<u4", bounds[-1])
 
 
 _ENCODERS: dict[str, Encoder] = {}
