@@ -116,3 +116,29 @@ def test_packing_and_bounds():
         differ = int(np.bitwise_count(jaccard.bitmap(p) ^ jaccard.bitmap(q)).sum())
         true = len(np.intersect1d(p, q))
         assert jaccard.exact_overlap(p, q) == true <= (len(p) + len(q) - differ) // 2
+
+
+def test_memory_of_a_range_of_hashes():
+    """Many workers share an executor: one range may take some dozens of bytes for each of its hashes, no more."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng, n, blocks = np.random.default_rng(3), 40_000, 25
+    sets = [(np.sort(rng.integers(0, 1 << 21, n).astype(np.uint64)), rng.integers(0, 900, n).astype(np.uint64)) for _ in range(blocks)]
+    table = pa.table([pa.array([0] * blocks, pa.int32()), pa.array(range(blocks), pa.int64()), pa.array([b"x", None] * 12 + [None], pa.binary()),
+                      pa.array([jaccard.pack(jaccard.steps(v), r) for v, r in sets], pa.binary())], names=["shard", "block", "docs", "items"])
+    tracemalloc.start()
+    try:
+        got = jaccard._shared(table)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60 * n * blocks
+    values, counts = np.unique(np.concatenate([v for v, _ in sets]), return_counts=True)
+    assert got.column("block").to_pylist() == list(range(blocks)) and got.column("docs").to_pylist() == table.column("docs").to_pylist()
+    for (value, row), items in zip(sets, got.column("items").to_pylist()):
+        times = counts[np.searchsorted(values, value)]
+        kept = times > 1
+        found = jaccard.unpack(items)
+        assert (np.cumsum(found[0]) == value[kept]).all() and (found[1] == row[kept]).all() and (found[2] == times[kept]).all()

@@ -79,72 +79,89 @@ ANSWER = "block long, docs binary, items binary"
 SET = "doc_id long, n long, d1 long, d2 long, items array<long>, rarity array<long>"
 
 
+def _hashed(piece: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, hash)`` of the distinct shingles of each row, by hash and row."""
+    offsets, codes, vocabulary = words.split(piece.column("text"))
+    tokens = words.hashes(vocabulary)[codes] if len(codes) else np.zeros(0, np.uint64)
+    del codes, vocabulary
+    row, value = words.shingles(offsets, tokens, width)
+    del tokens
+    value >>= np.uint64(64 - BITS)
+    order = np.lexsort((row, value))
+    row, value = row[order], value[order]
+    del order
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+    return row[new], value[new]
+
+
 def _sets(docs: DataFrame, width: int, shards: int) -> DataFrame:
     """Messages of every block of documents to every range of hashes."""
+    limits = np.array([(s << BITS) // shards for s in range(shards + 1)], np.uint64)
+
+    def messages(piece: pa.RecordBatch, block: int) -> pa.RecordBatch:
+        row, value = _hashed(piece, width)
+        n = np.bincount(row, minlength=piece.num_rows)
+        digests = []
+        for salt in (1, 2):
+            total = np.zeros(piece.num_rows, np.uint64)
+            np.add.at(total, row, words.mix(value * np.uint64(4) + np.uint64(salt)))
+            digests.append(total)
+        ids = piece.column("doc_id")
+        present = np.asarray(ids.is_valid())
+        doc = np.asarray(ids.fill_null(0)).astype(np.int64).view(np.uint64)
+        about = pack(doc, present.astype(np.uint64), n.astype(np.uint64), *digests)
+        bounds = np.searchsorted(value, limits)
+        keeper = block % shards
+        rows = []
+        for s in range(shards):
+            a, b = bounds[s], bounds[s + 1]
+            if a < b or s == keeper:
+                rows.append((s, block, about if s == keeper else None, pack(steps(value[a:b]), row[a:b].astype(np.uint64))))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
+            names=["shard", "block", "docs", "items"])
+
     def run(batches) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number = TaskContext.get().partitionId(), 0
-        limits = np.array([(s << BITS) // shards for s in range(shards + 1)], np.uint64)
-        for piece in words.slices(batches, "text"):
-            offsets, codes, vocabulary = words.split(piece.column("text"))
-            tokens = words.hashes(vocabulary)[codes] if len(codes) else np.zeros(0, np.uint64)
-            row, value = words.shingles(offsets, tokens, width)
-            value = value >> np.uint64(64 - BITS)
-            order = np.lexsort((row, value))
-            row, value = row[order], value[order]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-            row, value = row[new], value[new]
-            n = np.bincount(row, minlength=piece.num_rows)
-            digests = []
-            for salt in (1, 2):
-                total = np.zeros(piece.num_rows, np.uint64)
-                np.add.at(total, row, words.mix(value * np.uint64(4) + np.uint64(salt)))
-                digests.append(total)
-            block = (part << 24) + number
-            number += 1
-            ids = piece.column("doc_id")
-            present = np.asarray(ids.is_valid())
-            doc = np.asarray(ids.fill_null(0)).astype(np.int64).view(np.uint64)
-            about = pack(doc, present.astype(np.uint64), n.astype(np.uint64), *digests)
-            bounds = np.searchsorted(value, limits)
-            keeper = block % shards
-            rows = []
-            for s in range(shards):
-                a, b = bounds[s], bounds[s + 1]
-                if a < b or s == keeper:
-                    rows.append((s, block, about if s == keeper else None, pack(steps(value[a:b]), row[a:b].astype(np.uint64))))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
-                names=["shard", "block", "docs", "items"])
+        part = TaskContext.get().partitionId()
+        # what a slice needs is gone before the next one is read
+        for number, piece in enumerate(words.slices(batches, "text")):
+            yield messages(piece, (part << 24) + number)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MESSAGE)
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Of one range of hashes, what occurs in more than one document, back to its block."""
-    blocks, docs = table.column("block").to_pylist(), table.column("docs").to_pylist()
-    parts = [unpack(x) for x in table.column("items").to_pylist()]
-    value = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-    origin = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    row = np.concatenate([p[1] for p in parts])
-    order = np.argsort(value, kind="stable")
+def _times(value: np.ndarray) -> np.ndarray:
+    """How often each value occurs."""
+    order = np.argsort(value)
     ordered = value[order]
     start = np.flatnonzero(np.diff(ordered, prepend=~ordered[:1])) if len(ordered) else np.zeros(0, np.int64)
-    count = np.diff(np.append(start, len(ordered)))
-    times = np.zeros(len(value), np.uint64)
+    del ordered
+    count = np.diff(np.append(start, len(value))).astype(np.uint32)
+    del start
+    times = np.empty(len(value), np.uint32)
     times[order] = np.repeat(count, count)
+    return times
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """Of one range of hashes, what occurs in more than one document, back to its block."""
+    blocks, docs, items = (table.column(c) for c in ("block", "docs", "items"))
+    ends = np.cumsum([0, *(np.frombuffer(x.as_buffer(), "<u4", 1)[0] for x in items)], dtype=np.int64)
+    value, row = np.empty(ends[-1], np.uint64), np.empty(ends[-1], np.uint32)
+    for a, b, x in zip(ends, ends[1:], items):
+        step, row[a:b] = unpack(x.as_buffer())
+        np.cumsum(step, out=value[a:b])
+    times = _times(value)
     out = []
-    kept = times > 1
-    value, row, times, origin = value[kept], row[kept], times[kept], origin[kept]
-    bounds = np.searchsorted(origin, np.arange(len(parts) + 1))
-    for i, block in enumerate(blocks):
-        a, b = bounds[i], bounds[i + 1]
-        if a < b or docs[i] is not None:
-            out.append((block, docs[i], pack(steps(value[a:b]), row[a:b], times[a:b])))
+    for a, b, block, about in zip(ends, ends[1:], blocks.to_pylist(), docs.to_pylist()):
+        kept = times[a:b] > 1
+        if about is not None or kept.any():
+            out.append((block, about, pack(steps(value[a:b][kept]), row[a:b][kept], times[a:b][kept])))
     columns = list(zip(*out)) or [[], [], []]
-    del value, row, times, origin, order, ordered
+    del value, row, times
     words.give_back()
     return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())],
                     names=["block", "docs", "items"])
