@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from veilspark.functions.joins import salted_join
+from veilspark.functions.joins import key_filter, may_hold, salted_join, split_join
 from veilspark.operators.sanitise import sanitise
 from veilspark.operators.score import assignments, recall, scored, unlabelled
 from veilspark.operators.terms import term_matches
@@ -27,6 +27,37 @@ def test_a_salted_side_is_not_broadcast(spark):
     assert "Broadcast" not in _plan(joined) and joined.count() == 50
 
 
+def test_a_split_side_is_shuffled_once_and_its_heavy_key_split(spark):
+    big = spark.range(0, 60_000, 1, 6).select(F.when(F.col("id") % 10 < 8, 7).otherwise(F.col("id") % 50).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    keys = spark.range(40).select(F.col("id").alias("k"), F.lit("x").alias("w"))
+    unique = keys.groupBy("k").agg(F.first("w").alias("w"))  # lies by the key of the join already
+    small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        joined = split_join(big, unique, ["k"], "left")
+        assert "_salt" not in _plan(joined) and "Broadcast" not in _plan(joined)
+        rows = joined.groupBy("w").agg(F.count("v").alias("count"), F.max("v"))
+        assert {r.w: r["count"] for r in rows.collect()} == {"x": 60_000 - 10 * 240, None: 10 * 240}
+        assert "skew=true" in _plan(rows)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_a_filter_holds_its_keys_and_few_others(spark):
+    keys = spark.range(2000).select(F.concat(F.lit("key"), "id").alias("k")).unionByName(spark.createDataFrame([(None,)], "k string"))
+    known = key_filter(keys, "k")
+    rows = spark.range(20_000).select(F.concat(F.lit("key"), "id").alias("k")).where(may_hold(known, F.col("k")))
+    assert rows.where("int(substr(k, 4)) < 2000").count() == 2000 and rows.count() < 2050
+
+
+def test_masking_copies_no_side_and_shuffles_few_pieces(spark):
+    assert "_salt" not in _plan(sanitise(_findings(spark)))
+
+
 def test_masking_sends_nothing_to_the_driver(spark):
     clean = sanitise(_findings(spark))
     assert "Broadcast" not in _plan(clean)
