@@ -11,25 +11,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.joins import salted_join, shuffled
+from ..functions.joins import shuffled, split_join
 from ..functions.text import collapse_whitespace, location_file, location_record, strip
 from .collapse import severity_rank
 
 
-_PAIRS = T.ArrayType(T.StructType().add("plant_id", T.LongType()).add("finding_key", T.StringType()))
+_PAIRS = T.ArrayType(T.StructType().add("plant_id", T.LongType()).add("finding_key", T.BinaryType()))
 
 
 @F.pandas_udf(_PAIRS)
 def _assign(records: pd.Series) -> pd.Series:
     """Each plant of a record, in order, takes the first of its candidates that is still free."""
 
-    def one(plants) -> list[dict]:
-        taken, pairs = set(), []
-        for plant in plants:
-            free = next((key for key in plant["fitting"] if key not in taken), None)
-            if free is not None:
-                taken.add(free)
-                pairs.append({"plant_id": plant["plant_id"], "finding_key": free})
+    def one(candidates) -> list[dict]:
+        taken, served, pairs = set(), set(), []
+        for c in candidates:
+            plant, key = c["plant_id"], bytes(c["finding_key"])
+            if plant not in served and key not in taken:
+                served.add(plant)
+                taken.add(key)
+                pairs.append({"plant_id": plant, "finding_key": key})
         return pairs
 
     return records.map(one)
@@ -37,7 +38,12 @@ def _assign(records: pd.Series) -> pd.Series:
 
 def finding_key() -> Column:
     """Tells collapsed findings apart; ``finding_id`` ignores outer whitespace."""
-    return F.sha2(F.concat_ws("\x1f", "employee", "rule_id", collapse_whitespace(F.col("value"))), 256)
+    return F.lower(F.hex(_digest()))
+
+
+def _digest() -> Column:
+    """The same in half the bytes, for what is shuffled."""
+    return F.unhex(F.sha2(F.concat_ws("\x1f", "employee", "rule_id", collapse_whitespace(F.col("value"))), 256))
 
 
 def assignments(plants: DataFrame, findings: DataFrame) -> DataFrame:
@@ -51,7 +57,7 @@ def assignments(plants: DataFrame, findings: DataFrame) -> DataFrame:
         location_file(F.col("location")).alias("file"),
         location_record(F.col("location")).cast("bigint").alias("record_index"),
         "subtype", F.lower(strip(collapse_whitespace(F.col("value")))).alias("got"),
-        finding_key().alias("finding_key"),
+        _digest().alias("finding_key"),
         F.concat_ws(
             "\x1f", severity_rank(F.col("severity")).cast("string"),
             F.lpad((100 - F.col("confidence")).cast("string"), 3, "0"), "employee", "location", "rule_id",
@@ -67,16 +73,16 @@ def assignments(plants: DataFrame, findings: DataFrame) -> DataFrame:
     fits = F.filter("plants", lambda p: F.coalesce(
         p["subtype"].eqNullSafe(F.col("subtype")) | F.contains(F.col("got"), p["value"]) | F.contains(p["value"], F.col("got")),
         F.lit(False)))
-    pairs = salted_join(placed, plants_of, place, spread_by=["finding_key"]).select(
+    pairs = split_join(placed, plants_of, place).select(
         *place, F.size("plants").alias("room"), "order", "finding_key",
         F.explode(F.transform(fits, lambda p: p["plant_id"])).alias("plant_id"),
     )
-    nth = F.row_number().over(Window.partitionBy(*place, "plant_id", "room").orderBy("order", "finding_key"))
-    candidates = pairs.withColumn("nth", nth).where(F.col("nth") <= F.col("room")).groupBy(*place, "plant_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("nth", "finding_key"))), lambda c: c["finding_key"]).alias("fitting"))
+    # a record's room is the same in each of its rows
+    nth = F.row_number().over(Window.partitionBy(*place, "plant_id").orderBy("order", "finding_key"))
+    candidates = pairs.withColumn("nth", nth).where(F.col("nth") <= F.col("room"))
     return candidates.groupBy(*place).agg(
-        F.array_sort(F.collect_list(F.struct("plant_id", "fitting"))).alias("plants")
-    ).select(F.explode(_assign("plants")).alias("p")).select("p.plant_id", "p.finding_key")
+        F.array_sort(F.collect_list(F.struct("plant_id", "nth", "finding_key"))).alias("candidates")
+    ).select(F.explode(_assign("candidates")).alias("p")).select("p.plant_id", F.lower(F.hex("p.finding_key")).alias("finding_key"))
 
 
 def scored(plants: DataFrame, matched: DataFrame) -> DataFrame:
@@ -103,9 +109,9 @@ def missed(scored_plants: DataFrame) -> DataFrame:
 
 def unlabelled(findings: DataFrame, matched: DataFrame) -> DataFrame:
     """Findings no plant claims.  Not false positives: not everything is labelled."""
-    return findings.withColumn("finding_key", finding_key()).join(
-        shuffled(matched.select("finding_key")), "finding_key", "left_anti"
-    ).drop("finding_key")
+    return findings.withColumn("_key", _digest()).join(
+        shuffled(matched.select(F.unhex("finding_key").alias("_key"))), "_key", "left_anti"
+    ).drop("_key")
 
 
 def control_verdict(controls: DataFrame, findings: DataFrame) -> DataFrame:
